@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lamella.llm import exact_dedup, line_dedup
+from lamella.llm import exact_dedup, line_dedup, quality_rules
 
 
 def queries() -> dict:
     return {
+        "op4_quality_rules": quality_rules.op4_quality_rules,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_line_dedup": line_dedup.op9_line_dedup,
     }
@@ -14,6 +15,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_quality_rules": quality_rules.SQL,
         "op8_exact_dedup": exact_dedup.SQL,
         "op9_line_dedup": line_dedup.SQL,
     }
