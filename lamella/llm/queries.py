@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from lamella.llm import exact_dedup, line_dedup, quality_rules
+from lamella.llm import exact_dedup, line_dedup, packing, quality_rules, token_counts
 
 
 def queries() -> dict:
     return {
+        "op2_packing": packing.op2_packing,
+        "op3_token_counts": token_counts.op3_token_counts,
         "op4_quality_rules": quality_rules.op4_quality_rules,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_line_dedup": line_dedup.op9_line_dedup,
