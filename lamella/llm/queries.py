@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lamella.llm import exact_dedup, line_dedup, packing, quality_rules, token_counts
+from lamella.llm import exact_dedup, line_dedup, packing, quality_rules, secret_scan, token_counts, warc
 
 
 def queries() -> dict:
@@ -10,8 +10,10 @@ def queries() -> dict:
         "op2_packing": packing.op2_packing,
         "op3_token_counts": token_counts.op3_token_counts,
         "op4_quality_rules": quality_rules.op4_quality_rules,
+        "op6_secret_scan": secret_scan.op6_secret_scan,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_line_dedup": line_dedup.op9_line_dedup,
+        "op10_warc": warc.op10_warc,
     }
 
 
@@ -20,4 +22,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_quality_rules": quality_rules.SQL,
         "op8_exact_dedup": exact_dedup.SQL,
         "op9_line_dedup": line_dedup.SQL,
+        "op10_warc": warc.SQL,
     }
