@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lamella.llm import exact_dedup, line_dedup, packing, quality_rules, secret_scan, token_counts, warc
+from lamella.llm import exact_dedup, line_dedup, mixing, packing, quality_rules, secret_scan, token_counts, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_token_counts": token_counts.op3_token_counts,
         "op4_quality_rules": quality_rules.op4_quality_rules,
         "op6_secret_scan": secret_scan.op6_secret_scan,
+        "op7_mixing": mixing.op7_mixing,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_warc": warc.op10_warc,
