@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -53,6 +54,14 @@ def view(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[f"`{of}`"].alias(name) for name, of in columns.items()])
 
 
+def extended(df: DataFrame, columns: dict[str, str]) -> StructType:
+    """The schema of df and further columns."""
+    out = StructType(list(df.schema.fields))
+    for name, kind in columns.items():
+        out.add(name, kind)
+    return out
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(c, UPPER, LOWER)

@@ -20,7 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamella.llm.common import parallelism, slices, stored
+from lamella.llm.common import extended, parallelism, slices, stored
 
 BLOCK_ROWS = 64
 PERIOD = 4096
@@ -176,7 +176,7 @@ def scheduled(docs: DataFrame, weights: Mapping[str | None, float] | None = None
     sent = spark.sparkContext.broadcast(schedule)
     few = bases.count() <= broadcast_rows
     if not few:  # a shuffle would lose the order, so the place within the split is taken before
-        rows = rows.mapInArrow(_places(len(kept)), rows.schema.add(names[4], "long"))
+        rows = rows.mapInArrow(_places(len(kept)), extended(rows, {names[4]: "long"}))
     joined = rows.withColumn(names[2], F.xxhash64(split, at, src)).join(F.broadcast(bases) if few else bases, F.col(f"`{names[2]}`") == F.col("key")).withColumn(names[2], F.col("before")).drop("key", "before")
     joined = joined.select(*[F.col(f"`{c}`") for c in [*kept, *names[: 4 if few else 5]]])
 
@@ -195,10 +195,7 @@ def scheduled(docs: DataFrame, weights: Mapping[str | None, float] | None = None
             extra = [pa.array(phase, pa.int32()), pa.array(block), pa.array(rank % block_rows, pa.int32()), pa.array(release), pa.array(deadline), pa.array(slot)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], *extra], names=[*batch.schema.names[:k], *[mark + c for c, _ in _EXTRA]])
 
-    schema = docs.select(*plain).schema
-    for c, kind in _EXTRA:
-        schema = schema.add(mark + c, kind)
-    return joined.mapInArrow(run, schema), schedule.total
+    return joined.mapInArrow(run, extended(docs.select(*plain), {mark + c: kind for c, kind in _EXTRA})), schedule.total
 
 
 def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, source_col: str = "source", block_rows: int = BLOCK_ROWS, period: int = PERIOD, partitions: int | None = None) -> DataFrame:

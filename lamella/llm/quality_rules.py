@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.common import record_batch, slices, utf8, view
+from lamella.llm.common import extended, record_batch, slices, utf8, view
 
 WINDOW = 8
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_word_bytes", "n_alpha_words", "n_marked_words", "n_bullet_lines", "n_ellipsis_lines", "n_stutters"]
@@ -197,10 +197,7 @@ def quality_filter(docs: DataFrame, policy: Policy = POLICIES[PRODUCTION], id_co
             extra = [pa.array([r[k] for r in rows], pa.int64()) for k in range(len(MEASURES))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*names, *[f"{mark}{m}" for m in MEASURES]])
 
-    schema = docs.schema
-    for m in MEASURES:
-        schema = schema.add(f"{mark}{m}", "long")
-    measured = docs.mapInArrow(run, schema)
+    measured = docs.mapInArrow(run, extended(docs, {f"{mark}{m}": "long" for m in MEASURES}))
     failed = F.lit(False)
     for r in policy.rules:
         failed = failed | RULES[BIT[r]][1](lambda m: F.col(f"{mark}{m}"))
