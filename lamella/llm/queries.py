@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lamella.llm import exact_dedup, line_dedup, mixing, packing, quality_rules, secret_scan, token_counts, warc
+from lamella.llm import exact_dedup, language_id, line_dedup, mixing, packing, quality_rules, secret_scan, token_counts, warc
 
 
 def queries() -> dict:
     return {
+        "op1_language_id": language_id.op1_language_id,
         "op2_packing": packing.op2_packing,
         "op3_token_counts": token_counts.op3_token_counts,
         "op4_quality_rules": quality_rules.op4_quality_rules,
