@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lamella.llm import exact_dedup, language_id, line_dedup, mixing, packing, quality_rules, secret_scan, token_counts, warc
+from lamella.llm import exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, quality_rules, secret_scan, token_counts, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_packing": packing.op2_packing,
         "op3_token_counts": token_counts.op3_token_counts,
         "op4_quality_rules": quality_rules.op4_quality_rules,
+        "op5_ngram_join": ngram_join.op5_ngram_join,
         "op6_secret_scan": secret_scan.op6_secret_scan,
         "op7_mixing": mixing.op7_mixing,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
@@ -22,6 +23,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_quality_rules": quality_rules.SQL,
+        "op5_ngram_join": ngram_join.SQL,
         "op8_exact_dedup": exact_dedup.SQL,
         "op9_line_dedup": line_dedup.SQL,
         "op10_warc": warc.SQL,
