@@ -130,9 +130,13 @@ def kept_text(text: bytes, keep: bytes | None) -> tuple[bytes, int, int]:
 
 
 def _with_bitmaps(docs: DataFrame, id_col: str, text_col: str, partitions: int | None) -> DataFrame:
-    maps = line_bitmaps(docs, id_col, text_col, partitions).select(F.col("id").alias("__id"), F.col("fp").alias("__fp"), F.col("keep").alias("__keep"))
-    on = (F.coalesce(docs[f"`{id_col}`"].cast("long"), F.lit(LAST)) == maps["__id"]) & (F.xxhash64(docs[f"`{text_col}`"]) == maps["__fp"])
-    return docs.join(maps, on, "left").drop("__id", "__fp")
+    """docs with the bitmap of each row, or null, as the last column."""
+    mark = "__"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark = f"_{mark}"
+    maps = line_bitmaps(docs, id_col, text_col, partitions).select(F.col("id").alias(f"{mark}id"), F.col("fp").alias(f"{mark}fp"), F.col("keep").alias(f"{mark}keep"))
+    on = (F.coalesce(docs[f"`{id_col}`"].cast("long"), F.lit(LAST)) == maps[f"{mark}id"]) & (F.xxhash64(docs[f"`{text_col}`"]) == maps[f"{mark}fp"])
+    return docs.join(maps, on, "left").drop(f"{mark}id", f"{mark}fp")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
@@ -160,7 +164,7 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            done = [kept_text(t, k) for t, k in zip(utf8(batch["text"]), batch["__keep"].to_pylist())]
+            done = [kept_text(t, k) for t, k in zip(utf8(batch["text"]), batch.column(2).to_pylist())]
             yield record_batch(schema, {"doc_id": batch["doc_id"], "n_lines": [n for _, n, _ in done], "n_dropped": [d for _, _, d in done], "kept_sha256": [hashlib.sha256(t).hexdigest() for t, _, _ in done]})
 
     rows = view(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))

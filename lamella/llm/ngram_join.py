@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamella.llm.common import parallelism, record_batch, slices, stored, utf8, view
@@ -382,17 +382,12 @@ def region_links(members: DataFrame, limit: int = REGION_SHINGLES) -> DataFrame:
 # all of it
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = REGION_SHINGLES) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, n_similar, component_id.
-
-    Null or empty text, or one without words, has the empty set and is linked with nothing. Each row is a document,
-    also where rows repeat an id or an id and its text; component_id is the least id that isn't null. A null id alone
-    in its component has a null there. An empty table gives no rows.
-    """
+def _found(docs: DataFrame, id_col: str, text_col: str, limit: int) -> tuple[DataFrame, DataFrame]:
+    """The screened rows, and a row for each that isn't alone: k_id, k_fp, component (a number), n_similar, least."""
     rows = view(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("fp"))
     screened = stored(screen(rows), "screened")
-    key = (rows["doc_id"].eqNullSafe(F.col("k_id"))) & (rows["fp"] == F.col("k_fp"))
     alive = screened.filter("alive").select(F.col("doc_id").alias("k_id"), F.col("fp").alias("k_fp")).distinct()
+    key = rows["doc_id"].eqNullSafe(F.col("k_id")) & (rows["fp"] == F.col("k_fp"))
     sets = stored(rows.join(alive.hint("shuffle_hash"), key, "left_semi").mapInArrow(_sets, "doc_id long, fp long, digest binary, shingles binary"), "sets")
     grouped = sets.groupBy("digest", "shingles").agg(F.min("doc_id").alias("least"), F.count("*").alias("weight"))
     classes = stored(grouped.mapInArrow(_numbered, "digest binary, shingles binary, least long, weight long, chunk long, number long"), "classes")
@@ -407,11 +402,23 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     similar = links.groupBy("number").agg(F.sum("similar").alias("similar"))
     linked = components(links.filter("number <> to").select(F.col("number").alias("a"), F.col("to").alias("b")).distinct())
     known = classes.select("digest", "least", "weight", "number").join(similar, "number", "left").join(linked, F.col("number") == linked["node"], "left")
-    least = known.filter("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("component_id"))
+    known = known.filter((F.col("weight") > 1) | F.col("similar").isNotNull()).withColumn("component", F.coalesce("component", "number"))
+    least = known.groupBy("component").agg(F.min("least").alias("component_id"))
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    known = known.join(least, "component", "left").select("digest", (F.col("weight") - 1 + F.coalesce("similar", F.lit(0))).alias("n_similar"), F.coalesce("component_id", "least").alias("component_id"), salts.alias("salt"))
+    known = known.join(least, "component").select("digest", "component", (F.col("weight") - 1 + F.coalesce("similar", F.lit(0))).alias("n_similar"), "component_id", salts.alias("salt"))
     found = sets.select("doc_id", "fp", "digest", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")).join(known, ["digest", "salt"])
-    found = found.select(F.col("doc_id").alias("k_id"), F.col("fp").alias("k_fp"), "n_similar", "component_id").distinct()
+    return screened, found.select(F.col("doc_id").alias("k_id"), F.col("fp").alias("k_fp"), "component", "n_similar", "component_id")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = REGION_SHINGLES) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, n_similar, component_id.
+
+    Null or empty text, or one without words, has the empty set and is linked with nothing. Each row is a document,
+    also where rows repeat an id or an id and its text; component_id is the least id that isn't null. A null id alone
+    in its component has a null there. An empty table gives no rows.
+    """
+    screened, found = _found(docs, id_col, text_col, limit)
+    found = found.drop("component").distinct()
     key = screened["doc_id"].eqNullSafe(F.col("k_id")) & (screened["fp"] == F.col("k_fp"))
     return screened.join(found, key, "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"),
@@ -419,6 +426,31 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
 
 
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = REGION_SHINGLES) -> DataFrame:
+    """docs with one row of each component, that of the least id (null comes last), and all rows linked with nothing;
+    all columns stay. Of rows that repeat both that id and its text one stays. The other cases are those of similar_documents."""
+    _, found = _found(docs, id_col, text_col, limit)
+    found = stored(found.groupBy("component", "k_id", "k_fp").agg(F.count("*").alias("n")), "found")
+    one = found.groupBy("component").agg(F.min(F.struct(F.col("k_id").isNull().alias("none"), "k_id", "k_fp")).alias("one"))
+    beside = found.join(one, "component").withColumn("stays", F.col("k_id").eqNullSafe(F.col("one.k_id")) & (F.col("k_fp") == F.col("one.k_fp")))
+
+    def of(rows: DataFrame, keys: DataFrame):
+        return rows[f"`{id_col}`"].cast("long").eqNullSafe(keys["k_id"]) & (F.xxhash64(rows[f"`{text_col}`"]) == keys["k_fp"])
+
+    gone = beside.filter("NOT stays").select("k_id", "k_fp").hint("shuffle_hash")
+    kept = docs.join(gone, of(docs, gone), "left_anti")
+    repeated = beside.filter("stays AND n > 1").select("k_id", "k_fp")
+    if repeated.limit(1).count() == 0:
+        return kept
+    number = "__row"
+    while number in docs.columns:
+        number = f"_{number}"
+    rest = kept.join(repeated, of(kept, repeated), "left_anti")
+    by = Window.partitionBy(F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`"))).orderBy(F.lit(1))
+    first = kept.join(repeated, of(kept, repeated), "left_semi").withColumn(number, F.row_number().over(by)).filter(F.col(number) == 1).drop(number)
+    return rest.unionByName(first)
+
+
 def op5_ngram_join(spark, sf_dir: str) -> DataFrame:
     return similar_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
