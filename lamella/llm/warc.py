@@ -188,7 +188,9 @@ def records(file: pa.NativeFile) -> Iterator[dict]:
     stream, place = _Stream(file), 0
     while stream.skip_blank():
         head = stream.until(b"\r\n\r\n")
-        if head is None or not head.startswith(b"WARC/"):
+        if head is None:
+            raise ValueError("an archive ends within a record")
+        if not head.startswith(b"WARC/"):
             raise ValueError("this isn't a WARC archive")
         fields = _folded(head.split(b"\n", 1)[1] if b"\n" in head else b"")
         named = {k.lower(): v for k, v in fields}
