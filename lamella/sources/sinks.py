@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import warnings
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 
@@ -11,6 +12,7 @@ import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lamella.schema.dsl import Schema
 from lamella.schema.sparktypes import to_struct_type
@@ -66,12 +68,17 @@ def conform(df: DataFrame, schema: Schema) -> DataFrame:
             raise ValueError(f"there is no column {f.name}, which is required")
         if not f.nullable and f.name in have:
             value = F.coalesce(value, F.raise_error(F.lit(f"{f.name} is required")).cast(f.dataType))
+        if f.nullable:  # a cast to a struct with a nullable field, which is all that declares this
+            value = F.struct(value.alias("v")).cast(T.StructType([T.StructField("v", f.dataType, True)])).getField("v")
         out.append(value.alias(f.name, metadata=f.metadata))
     return df.select(*out)
 
 
 def write(df: DataFrame, path: str, options: SinkOptions = SinkOptions()) -> None:
-    """By Spark's own writer."""
+    """By Spark's own writer. Warns of V2 pages without compression: Spark 4.1's vectorised reader returns wrong bytes for
+    strings in them that have no dictionary; spark.sql.parquet.enableVectorizedReader=false reads them right."""
+    if options.v2_pages and codec(options.codec) == "none":
+        warnings.warn("read these files with spark.sql.parquet.enableVectorizedReader=false", stacklevel=2)
     if options.schema is not None:
         df = conform(df, options.schema)
     df.write.mode(options.mode).options(**options.spark_options()).parquet(path)
@@ -88,8 +95,6 @@ def write_with_metadata(df: DataFrame, path: str, metadata: Mapping[str, str], o
     A column's pairs are kept in the field's metadata. Spark's writer has no place for pairs, so pyarrow writes here, batch
     by batch. A task that is repeated leaves a file of another name under _tmp, which isn't moved into place.
     """
-    schema = None
-    columns = df.schema
     uri = path if "://" in path else f"file://{path}"
     kind = {"none": "none", "lz4_raw": "lz4"}.get(codec(options.codec), codec(options.codec))
     own = {c: merge_metadata(everywhere or {}, (column_metadata or {}).get(c, {})) for c in df.columns}
@@ -109,7 +114,6 @@ def write_with_metadata(df: DataFrame, path: str, metadata: Mapping[str, str], o
             out.close()
             yield pa.RecordBatch.from_pydict({"file": [name], "num_rows": [n]}, schema=pa.schema([("file", pa.string()), ("num_rows", pa.int64())]))
 
-    del schema, columns
     done = df.mapInArrow(run, "file string, num_rows long").collect()  # a row for each file
     fs, inside = pafs.FileSystem.from_uri(uri)
     for r in done:
