@@ -362,19 +362,23 @@ def split_table(spark: SparkSession, sf: str) -> DataFrame:
     return parts.groupBy("part").agg(F.count("*").alias("num_rows"), F.sum("b").alias("bytes"))
 
 
-@query()
+#: The files whose footers the SQL reads: those of the scale at which queries and SQL are compared.
+_FILE = "'/root/testdata/sf0.01/lineitem.parquet'"
+
+
+@query(f"SELECT num_rows, num_row_groups::INTEGER AS num_row_groups FROM parquet_file_metadata({_FILE})")
 def footers(spark: SparkSession, sf: str) -> DataFrame:
-    return footer.footer(spark, f"{sf}/lineitem.parquet")
+    return footer.footer(spark, f"{sf}/lineitem.parquet").select("num_rows", "num_row_groups")
 
 
-@query()
+@query(f"SELECT row_group_id::INTEGER AS row_group, any_value(row_group_num_rows) AS num_rows, sum(total_compressed_size)::BIGINT AS total_compressed_size FROM parquet_metadata({_FILE}) GROUP BY ALL")
 def footer_row_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return footer.row_groups(spark, f"{sf}/lineitem.parquet")
+    return footer.row_groups(spark, f"{sf}/lineitem.parquet").select("row_group", "num_rows", "total_compressed_size")
 
 
-@query()
+@query(f"SELECT row_group_id::INTEGER AS row_group, column_id::INTEGER AS \"column\", path_in_schema AS path, compression AS codec, num_values, stats_null_count AS null_count, total_compressed_size AS compressed_size, total_uncompressed_size AS uncompressed_size FROM parquet_metadata({_FILE})")
 def footer_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return footer.chunks(spark, f"{sf}/lineitem.parquet")
+    return footer.chunks(spark, f"{sf}/lineitem.parquet").select("row_group", "column", "path", "codec", "num_values", "null_count", "compressed_size", "uncompressed_size")
 
 
 @query()

@@ -5,10 +5,10 @@ Each encoder takes all values of a page and returns its bytes; each decoder take
 
 from __future__ import annotations
 
-import pandas as pd
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -100,6 +100,18 @@ def hybrid_decode(data: bytes, width: int, n: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def levels_encode(levels: np.ndarray, highest: int, sized: bool = True) -> bytes:
+    """Repetition or definition levels: sized (pages of version 1) behind their length in 32 bits, else bare. Where the highest level is 0 there are none."""
+    if not highest:
+        return b""
+    data = hybrid_encode(levels, highest.bit_length())
+    return len(data).to_bytes(4, "little") + data if sized else data
+
+
+def levels_decode(data: bytes, highest: int, n: int, sized: bool = True) -> np.ndarray:
+    return hybrid_decode(data[4:] if sized else data, highest.bit_length(), n) if highest else np.zeros(n, np.uint64)
+
+
 def delta_encode(values: np.ndarray, bits: int = 64) -> bytes:
     """Blocks of 128 deltas in four parts, each with a width of its own; arithmetic wraps around at 32 or 64 bits."""
     kind, wide = (np.int32, np.uint32) if bits == 32 else (np.int64, np.uint64)

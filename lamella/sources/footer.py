@@ -24,6 +24,7 @@ VIEWS = {
     "chunks": "file string, row_group int, column int, path string, physical string, codec string, encodings array<string>, num_values long, null_count long, distinct_count long, min string, max string, "
     "compressed_size long, uncompressed_size long, data_page_offset long, dictionary_page_offset long",
     "kv": "file string, key string, value string",
+    "column_kv": "file string, column string, key string, value string",
     "columns": "file string, index int, path string, repetition string, physical string, length int, annotation string, field_id int, max_definition int, max_repetition int",
 }
 
@@ -73,6 +74,11 @@ def _rows(view: str, name: str) -> Iterator[tuple]:
     elif view == "kv":
         for k, v in (meta.metadata or {}).items():
             yield name, k.decode("utf-8", "replace"), v.decode("utf-8", "replace")
+    elif view == "column_kv":
+        for f in meta.schema.to_arrow_schema():
+            for k, v in (f.metadata or {}).items():
+                if k != b"PARQUET:field_id":
+                    yield name, f.name, k.decode("utf-8", "replace"), v.decode("utf-8", "replace")
     elif view == "columns":
         for r in ColumnTree(schema_of(meta)).rows():
             yield name, *r.values()
@@ -164,6 +170,14 @@ def kv_metadata(spark: SparkSession, path: str) -> DataFrame:
     return footer(spark, path, "kv").groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("metadata"))
 
 
+def column_metadata(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """file and metadata, the pairs of a column; a file in which it has none has no row. A column that isn't there raises."""
+    if column not in {c.name for c in file_schema(path).root.children}:
+        raise ValueError(f"there is no column {column}")
+    pairs = footer(spark, path, "column_kv").filter(F.col("column") == column)
+    return pairs.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("metadata"))
+
+
 def row_count(spark: SparkSession, path: str) -> int:
     """From the footers alone."""
     return int(footer(spark, path).agg(F.coalesce(F.sum("num_rows"), F.lit(0))).first()[0])

@@ -24,6 +24,11 @@ def codecs() -> list[str]:
     return sorted(CODECS)
 
 
+def register_codec(name: str, spark_name: str) -> None:
+    """Makes a codec known under a name: one of Spark's, or the class of a Hadoop codec on the class path."""
+    CODECS[name.upper()] = spark_name
+
+
 def codec(name: str) -> str:
     """Spark's name of a codec."""
     if name.upper() not in CODECS:

@@ -15,7 +15,7 @@ from lamella.schema import ColumnTree, parse, render
 from lamella.sources import footer
 from lamella.sources.csv import csv_to_parquet, derive_schema, read_typed_csv
 from lamella.sources.scan import ScanOptions, head, read_json_array, rows, scan, seek
-from lamella.sources.sinks import SinkOptions, codec, conform, merge_files, merge_metadata, write, write_with_metadata
+from lamella.sources.sinks import SinkOptions, codec, conform, merge_files, merge_metadata, register_codec, write, write_with_metadata
 from lamella.sources.split import split, split_parts
 from lamella.streaming.landing import csv_stream, parquet_stream, windowed_stats, write_stream
 
@@ -103,6 +103,8 @@ def test_write_nothing(spark, tmp_path):
     assert spark.read.schema("id long").parquet(str(tmp_path / "d")).count() == 0 and footer.row_count(spark, str(tmp_path / "d")) == 0
     with pytest.raises(ValueError, match="BROTLI"):
         codec("BROTLI")
+    register_codec("mine", "zstd")
+    assert codec("MINE") == "zstd"
 
 
 def test_conform(spark, tmp_path):
@@ -125,6 +127,9 @@ def test_metadata(spark, tmp_path):
     assert sum(r["num_rows"] for r in made.collect()) == 100 and spark.read.parquet(str(tmp_path / "d")).count() == 100
     assert {r["metadata"]["made by"] for r in footer.kv_metadata(spark, str(tmp_path / "d")).collect()} == {"me"}
     assert pq.read_schema(made.first()["file"][7:]).field("s").metadata.items() >= {b"a": b"1", b"b": b"own", b"c": b"!"}.items()
+    assert footer.column_metadata(spark, str(tmp_path / "d"), "s").first()["metadata"] == {"a": "1", "b": "own", "c": "!"}
+    with pytest.raises(ValueError, match="no column z"):
+        footer.column_metadata(spark, str(tmp_path / "d"), "z")
     assert merge_metadata({"a": "x", "b": "y"}, {"b": "z"}) == {"a": "x", "b": "z"}
 
 
