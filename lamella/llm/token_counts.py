@@ -18,7 +18,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lamella.llm.common import record_batch, scratch_dir, slices, stored, view
+from lamella.llm.common import parallelism, record_batch, scratch_dir, slices, stored, view
 from lamella.llm.tokens import Encoder, default_vocabulary
 
 END_ID = 50256
@@ -117,7 +117,8 @@ def scan_token_files(files: DataFrame, end_id: int = END_ID, block_bytes: int =
                     counts, closed = np.append(counts, open_tail), [*closed, False]
                 yield record_batch(_COUNTS, {"file": [name] * len(counts), "ordinal": list(range(base, base + len(counts))), "n_tokens": counts.tolist(), "closed": closed})
 
-    spread = _blocks(files, block_bytes).repartition("file", "block")
+    # a fixed number of tasks: rows that name blocks are small, and adaptive execution would read all blocks in one task
+    spread = _blocks(files, block_bytes).repartition(parallelism(files))
     found = stored(spread.mapInArrow(scan, "file string, block long, first long, n_tokens long, n_ends long, last_end long, ends binary"), "ends")
     brief = found.select("file", "block", F.floor(F.col("block") / GROUP).alias("g"), "n_ends", "last_end")
     before = (Window.unboundedPreceding, -1)
