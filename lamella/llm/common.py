@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,6 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+_made: dict[str, set[str]] = {}
+_tables: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -28,20 +32,38 @@ def scratch_dir(spark: SparkSession) -> str:
             base = scratch_dir.own = "file://" + tempfile.mkdtemp(prefix="lamella-")
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/lamella-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/lamella-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, set()).add(folder)
+    return folder
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _made.get(spark.sparkContext.applicationId, set()).discard(folder)
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes the scratch table behind what stored() returned; nothing may read it any more."""
+    folder = _tables.pop(table, None)
+    if folder:
+        _delete(table.sparkSession, folder)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all scratch tables of this application: to be called when the results that read them are written."""
+    for folder in list(_made.get(spark.sparkContext.applicationId, ())):
+        _delete(spark, folder)
 
 
 def stored(df: DataFrame, name: str = "table", codec: str = "zstd") -> DataFrame:
     """Writes df to a scratch table and reads it back: its lineage ends there, and its size is known to the planner."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def local_path(url: str) -> str:
-    """The path of a file: URL, as Python's open() takes it."""
-    return url[5:].replace("///", "/", 1) if url.startswith("file:") else url
+    folder = scratch_dir(spark)
+    df.write.option("compression", codec).parquet(f"{folder}/{name}")
+    table = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+    _tables[table] = folder
+    return table
 
 
 def parallelism(df: DataFrame) -> int:

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamella.llm.common import parallelism, record_batch, slices, stored, utf8, view
+from lamella.llm.common import discard, parallelism, record_batch, slices, stored, utf8, view
 from lamella.llm.regions import PERCENT, Region
 
 N = 3
@@ -296,7 +296,10 @@ def components(edges: DataFrame) -> DataFrame:
         jumped = spread.join(own, spread["component"] == own["k"], "left").select("node", F.least("component", "further").alias("component"))
         after = stored(jumped, "labels")
         old = labels.select("node", F.col("component").alias("before"))
-        if after.join(old, "node").filter("component <> before").limit(1).count() == 0:
+        done = after.join(old, "node").filter("component <> before").limit(1).count() == 0
+        discard(labels)
+        if done:
+            discard(both)
             return after
         labels = after
 

@@ -1,6 +1,7 @@
 """Each operator against a plain program, on made-up rows with the awkward cases, and on a small table."""
 
 import hashlib
+import os
 import random
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamella.llm import exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, quality_rules, regions, secret_scan, token_counts, warc
-from lamella.llm.common import scratch_dir
+from lamella.llm.common import discard, release, scratch_dir, stored
 from lamella.llm.tokens import Encoder, default_vocabulary
 
 from . import plain
@@ -75,6 +76,16 @@ def as_sorted(rows):
     return sorted(rows, key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
+def test_scratch_tables(spark):
+    a, b = (stored(spark.range(3), n) for n in "ab")
+    paths = [x.inputFiles()[0] for x in (a, b)]
+    assert a.count() == 3 and all(os.path.exists(p.removeprefix("file://")) for p in paths)
+    discard(a)
+    assert [os.path.exists(p.removeprefix("file://")) for p in paths] == [False, True]
+    release(spark)
+    assert not os.path.exists(paths[1].removeprefix("file://"))
+
+
 # exact dedup
 
 
