@@ -20,7 +20,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.common import record_batch, scratch_dir, slices, stored, utf8, view
+from lamella.llm.common import parallelism, record_batch, scratch_dir, slices, stored, utf8, view
 
 FILE_BYTES = 128 << 20
 READ_BYTES = 1 << 20
@@ -225,7 +225,8 @@ def read_warc(files: DataFrame) -> DataFrame:
                     if held:
                         yield record_batch(_RECORDS, {c: [r[c] for r in held] for c in _RECORDS.names})
 
-    return files.repartition("file").mapInArrow(run, _RECORDS_DDL).withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_sha1": F.sha1("payload")})
+    # a fixed number of tasks: rows that name files are small, and adaptive execution would read all files in one task
+    return files.repartition(parallelism(files)).mapInArrow(run, _RECORDS_DDL).withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_sha1": F.sha1("payload")})
 
 
 def _attached(mains: DataFrame, others: DataFrame, kind: str) -> DataFrame:
