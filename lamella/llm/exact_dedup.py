@@ -52,14 +52,18 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return view(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), "text", F.monotonically_increasing_id().alias("row"))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """One row per distinct text of two rows or more: digest, check, size, keep_id, group_size."""
+def merged(local: DataFrame, salts: int = SALTS) -> DataFrame:
+    """digest, check, size, keep_id and group_size of local winners: by digest and salt first, then by digest, each time for equal content only."""
     key = ["digest", "check", "size", "content"]
-    local = _rows(docs, id_col, text_col).mapInArrow(_local(False), "digest binary, check long, size long, content binary, win_id long, n long")
     salt = F.pmod(F.xxhash64("win_id"), F.lit(salts)).alias("salt")
     salted = local.groupBy(*key, salt).agg(F.max("win_id").alias("win_id"), F.sum("n").alias("n"))
-    merged = salted.groupBy(*key).agg(F.max("win_id").alias("keep_id"), F.sum("n").alias("group_size"))
-    return merged.filter("group_size > 1").drop("content")
+    return salted.groupBy(*key).agg(F.max("win_id").alias("keep_id"), F.sum("n").alias("group_size")).drop("content")
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
+    """One row per distinct text of two rows or more: digest, check, size, keep_id, group_size."""
+    local = _rows(docs, id_col, text_col).mapInArrow(_local(False), "digest binary, check long, size long, content binary, win_id long, n long")
+    return merged(local, salts).filter("group_size > 1")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
