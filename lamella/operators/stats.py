@@ -38,9 +38,12 @@ def comparable(name: str, kind: T.DataType) -> tuple[Column | None, Column | Non
 
 def column_stats(df: DataFrame, columns: list[str] | None = None, distinct: str = "exact") -> DataFrame:
     """One row per column: column, num_values (nulls included), null_count, distinct_count, min_num, max_num, min_text,
-    max_text, total_bytes. distinct: "exact", "approx" (a sketch of fixed size, for very large tables) or "none"."""
+    max_text, total_bytes. distinct: "exact", "approx" (a sketch of fixed size, for very large tables) or "none".
+
+    Exact counts are a scan and an aggregation for each column, that read this column alone and move its distinct values;
+    counted all at once, every row would be sent once for each column with all the others in it."""
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
-    count = {"exact": F.countDistinct, "approx": F.approx_count_distinct, "none": lambda c: F.lit(None).cast("long")}[distinct]
+    count = F.approx_count_distinct if distinct == "approx" else lambda c: F.lit(None).cast("long")
     aggs = []
     for k, f in enumerate(fields):
         c = F.col(f"`{f.name}`")
@@ -58,7 +61,12 @@ def column_stats(df: DataFrame, columns: list[str] | None = None, distinct: str
         )
         for k, f in enumerate(fields)
     ]
-    return one.select(F.inline(F.array(*rows)))
+    out = one.select(F.inline(F.array(*rows)))
+    if distinct != "exact":
+        return out
+    exact = reduce(DataFrame.unionByName, [df.agg(F.countDistinct(F.col(f"`{f.name}`")).alias("n")).select(F.lit(f.name).alias("name"), "n") for f in fields])
+    joined = out.join(F.broadcast(exact), F.col("column") == F.col("name"))  # a row for each column
+    return joined.select(*[F.col("n").alias(c) if c == "distinct_count" else F.col(c) for c in out.columns])
 
 
 def page_stats(df: DataFrame, value: str, order: list[str], page_bytes: int = 1 << 20) -> DataFrame:
@@ -84,5 +92,9 @@ def row_group_stats(df: DataFrame, columns: list[str], order: list[str], rows: i
 
 
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
-    """table and num_rows, from counts that read no column."""
-    return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("num_rows")).select(F.lit(name).alias("table"), "num_rows") for name, df in tables.items()])
+    """table and num_rows, from scans that read no column; all tables are counted in one aggregation."""
+    one, zero = F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("n")
+    spark = next(iter(tables.values())).sparkSession
+    names = spark.range(1).select(F.explode(F.array(*map(F.lit, tables))).alias("table"), zero)  # empty tables are counted too
+    rows = reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("table"), one) for name, df in tables.items()], names)
+    return rows.groupBy("table").agg(F.sum("n").alias("num_rows"))
