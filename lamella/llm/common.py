@@ -20,6 +20,7 @@ from pyspark.sql.types import StructType
 _made: dict[str, set[str]] = {}
 _tables: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -57,10 +58,18 @@ def release(spark: SparkSession) -> None:
 
 
 def stored(df: DataFrame, name: str = "table", codec: str = "zstd") -> DataFrame:
-    """Writes df to a scratch table and reads it back: its lineage ends there, and its size is known to the planner."""
+    """Writes df to a scratch table and reads it back: its lineage ends there, and its size is known to the planner.
+
+    The shuffle files of the job that wrote it are of no use any more and go at once, not when the driver's JVM happens
+    to collect its garbage."""
     spark = df.sparkSession
     folder = scratch_dir(spark)
-    df.write.option("compression", codec).parquet(f"{folder}/{name}")
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(f"{folder}/{name}")
+    finally:
+        spark.conf.set(CLEANUP, before)
     table = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
     _tables[table] = folder
     return table
