@@ -164,7 +164,7 @@ def _found_elsewhere(table: pa.Table) -> pa.Table:
                 hit = docs[several[at] == keys]
                 hit = hit[hit != NONE]
                 if len(hit):
-                    out.append((c, _pack(np.bincount(hit, minlength=NONE).astype(np.uint16)), None, None, None))
+                    out.append((c, _pack(np.bincount(hit, minlength=NONE).astype(np.uint32)), None, None, None))
     names = ["chunk", "found", "ids", "fps", "counts"]
     schema = pa.schema([("chunk", pa.int64()), ("found", pa.binary()), *[(f.name, f.type) for f in _PIECES if f.name in names[2:]]])
     return pa.Table.from_batches([record_batch(schema, dict(zip(names, map(list, zip(*out)))) if out else {n: [] for n in names})])
@@ -174,7 +174,7 @@ def _verdict(table: pa.Table) -> pa.Table:
     found, row = np.zeros(NONE, np.int64), None
     for f, ids, fps, counts in zip(*(table[x].to_pylist() for x in ("found", "ids", "fps", "counts"))):
         if f is not None:
-            found += _unpack(f, "u2")
+            found += _unpack(f, "u4")
         else:
             row = ids, fps, np.frombuffer(counts, np.int32).reshape(3, -1).astype(np.int64)
     ids, fps, (n, half, local) = row

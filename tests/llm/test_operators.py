@@ -174,6 +174,15 @@ def test_drop_similar(docs, empty):
     assert ngram_join.drop_similar(empty).collect() == []
 
 
+def test_screen_of_long_texts(spark, monkeypatch):
+    """70,000 of a text's shingles, of one range, are found in another chunk."""
+    monkeypatch.setattr(ngram_join, "_range_bits", lambda df: 0)
+    text = " ".join(map(str, range(140000)))
+    df = spark.range(2, numPartitions=2).select(F.col("id").alias("doc_id"), F.col("id").alias("fp"), F.lit(text).alias("text"))
+    assert [tuple(r) for r in ngram_join.screen(df).orderBy("doc_id").collect()] == [(k, k, 139998, True) for k in range(2)]
+    assert [tuple(r) for r in ngram_join.similar_documents(df).select("doc_id", "n_similar", "component_id").orderBy("doc_id").collect()] == [(0, 1, 0), (1, 1, 0)]
+
+
 def test_chains_and_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)] + [(200, 201)]
     got = dict(ngram_join.components(spark.createDataFrame(edges, "a long, b long")).collect())
