@@ -289,6 +289,19 @@ def test_tokens_are_those_of_the_tokenizer():
         assert [e.encode(t).tolist() for t in texts] == plain.token_ids(texts, path, as_text)
 
 
+def test_tokens_of_long_runs_of_white_space(spark):
+    path, runs = default_vocabulary(), [" " * 2000000, "\n" * 1000000, " \n\t\u3000\r\x85" * 200000]
+    texts = [f"a b{r}{end}" for r in runs for end in ("", "c d", "\tx", "<|endoftext|> e")] + [runs[0] + "x" + runs[1] + "'s<|endoftext|>" + runs[2] + "\x1c"]
+    for as_text in (False, True):
+        e = Encoder.at(path, as_text)
+        for t in texts:
+            assert e.encode(t).tolist() == plain.token_ids([t], path, as_text)[0]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts[:2])], "doc_id long, text string")
+    want = [len(x) for x in plain.token_ids(texts[:2], path, True)]
+    assert [r["n_tokens"] for r in token_counts.token_counts(df).orderBy("doc_id").collect()] == want
+    assert sum(r["length"] for r in packing.pack(df).collect()) == sum(want) + 2
+
+
 def check_packed(rows, got, length, end=1):
     ids = {}
     for (i, t), x in zip(rows, plain.token_ids([t for _, t in rows], default_vocabulary())):
