@@ -5,6 +5,7 @@ source code and configuration (``x = "..."``, ``"x": '...'``, ``x := ...``, ``x
 name and a value: literals, names of earlier constants, and sums of these. Constants are propagated, so a harmless
 name whose value later reaches ``db_password`` is scored by the latter. A literal's score is how sensitive the name
 is that it is assigned to, and how much the literal looks like a secret; those beyond a threshold give further spans.
+Neither literals nor names, sums or constants have a greatest length.
 """
 
 from __future__ import annotations
@@ -59,8 +60,8 @@ def base_spans(text: bytes) -> list[tuple[str, int, int]]:
 
 _OPERATOR = re.compile(rb"=>|:=|(?<![=!<>:])[:=](?![=:/~>])")
 _NAME = re.compile(rb"([A-Za-z_$][\w$]*(?:[.\-][\w$]+)*)[\"'`]?(?:\]|\))?(?:[\x20\t]*:[\x20\t]*[A-Za-z_][\w.]*(?:\[\w*\])?)?[\x20\t]*$")
-_STRING = re.compile(rb"[\x20\t]*(?:[rbufRBUF]{1,2})?(?:\"\"\"(?P<t>[^\\]{0,4096}?)\"\"\"|\"(?P<d>(?:\\.|[^\"\\\n]){0,4096})\"|'(?P<s>(?:\\.|[^'\\\n]){0,4096})'|`(?P<b>(?:\\.|[^`\\]){0,4096})`)")
-_BARE = re.compile(rb"[\x20\t]*([^\s\"'`,;&|<>(){}\[\]]{1,4096})")
+_STRING = re.compile(rb"[\x20\t]*(?:[rbufRBUF]{1,2})?(?:\"\"\"(?P<t>[^\\]*?)\"\"\"|\"(?P<d>(?:[^\"\\\n]++|\\.)*+)\"|'(?P<s>(?:[^'\\\n]++|\\.)*+)'|`(?P<b>(?:[^`\\]++|\\.)*+)`)")
+_BARE = re.compile(rb"[\x20\t]*([^\s\"'`,;&|<>(){}\[\]]++)")
 _IDENTIFIER = re.compile(rb"[A-Za-z_$][\w$]*(?:\.[\w$]+)*\Z")
 _JOIN = re.compile(rb"[\x20\t]*(?:\+|\.\.|<>|&)[\x20\t]*|[\x20\t]+(?=[\"'])")
 _PARTS = re.compile(rb"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")

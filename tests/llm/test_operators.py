@@ -1,5 +1,6 @@
 """Each operator against a plain program, on made-up rows with the awkward cases, and on a small table."""
 
+import base64
 import hashlib
 import os
 import random
@@ -468,6 +469,18 @@ def test_assignments(text, found):
     assert [text[s.start : s.end] for s in secret_scan.find_secrets(text.encode()) if s.kind == "literal"] == found
 
 
+LONG = base64.b64encode(random.Random(3).randbytes(1 << 16)).decode().rstrip("=")
+
+
+@pytest.mark.parametrize("form", ['pwd = "{}"', "pwd = '{}';", 'pwd = """{}"""', "pwd = `{}`", "export DB_PWD={} x", "A = '{}'\npwd = A\n"])
+def test_long_literals(spark, form):
+    for n in (4096, 4097, 5000, len(LONG)):
+        text = form.format(LONG[:n])
+        assert [text[s.start : s.end] for s in secret_scan.find_secrets(text.encode()) if s.kind == "literal"] == [LONG[:n]]
+        (got,) = secret_scan.redact(spark.createDataFrame([(text,)], "text string")).collect() if n == 5000 else [(form.format("[SECRET]"),)]
+        assert got[0] == form.format("[SECRET]")
+
+
 def test_redact(spark, docs):
     df = spark.createDataFrame([(1, 'x token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" y', 5), (2, None, 6)], "doc_id long, text string, id int")
     assert [tuple(r) for r in secret_scan.redact(df).orderBy("doc_id").collect()] == [(1, 'x [SECRET]" y', 5), (2, None, 6)]
