@@ -59,9 +59,11 @@ def base_spans(text: bytes) -> list[tuple[str, int, int]]:
 # the lexer
 
 _OPERATOR = re.compile(rb"=>|:=|(?<![=!<>:])[:=](?![=:/~>])")
-_NAME = re.compile(rb"([A-Za-z_$][\w$]*(?:[.\-][\w$]+)*)[\"'`]?(?:\]|\))?(?:[\x20\t]*:[\x20\t]*[A-Za-z_][\w.]*(?:\[\w*\])?)?[\x20\t]*$")
+#: What stands before a sign, from the sign backwards: a type and its colon, a bracket, a quote, the name.
+_NAME = re.compile(rb"[\x20\t]*+(?:(?:\]\w*\[)?[\w.]*[A-Za-z_][\x20\t]*:[\x20\t]*)?[\])]?[\"'`]?((?:[\w$]+[.\-])*[\w$]*[A-Za-z_$])")
 _STRING = re.compile(rb"[\x20\t]*(?:[rbufRBUF]{1,2})?(?:\"\"\"(?P<t>[^\\]*?)\"\"\"|\"(?P<d>(?:[^\"\\\n]++|\\.)*+)\"|'(?P<s>(?:[^'\\\n]++|\\.)*+)'|`(?P<b>(?:[^`\\]++|\\.)*+)`)")
-_BARE = re.compile(rb"[\x20\t]*([^\s\"'`,;&|<>(){}\[\]]++)")
+_BLANKS = re.compile(rb"[\x20\t]*")
+_BARE = re.compile(rb"([^\s\"'`,;&|<>(){}\[\]]++)")
 _IDENTIFIER = re.compile(rb"[A-Za-z_$][\w$]*(?:\.[\w$]+)*\Z")
 _JOIN = re.compile(rb"[\x20\t]*(?:\+|\.\.|<>|&)[\x20\t]*|[\x20\t]+(?=[\"'])")
 _PARTS = re.compile(rb"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
@@ -72,7 +74,11 @@ _SENSITIVE = {
 }
 _PAIRS = {("api", "key"): 1.0, ("access", "key"): 1.0, ("private", "key"): 1.0, ("secret", "key"): 1.0, ("encryption", "key"): 1.0, ("signing", "key"): 1.0, ("auth", "key"): 1.0, ("account", "key"): 0.9, ("master", "key"): 0.9, ("connection", "string"): 0.8, ("conn", "str"): 0.8}
 _HARMLESS = {"count", "counts", "len", "length", "size", "type", "name", "field", "label", "prompt", "url", "uri", "path", "file", "expires", "expiry", "ttl", "regex", "pattern", "hint", "policy", "header", "max", "min", "limit", "index", "placeholder", "description", "public", "tokenizer", "column", "param"}
-_DUMMY = re.compile(rb"(?i)change.?me|example|dummy|placeholder|your[-_ ]|xxxx|\*\*\*|redacted|<[^>]+>|\$\{|\{\{|%\(|todo|none$|null$|true$|false$|undefined$|env\b|getenv|process\.env")
+#: Texts that no secret has: anywhere, and at the end. <...> is for _angle.
+_DUMMY = re.compile(rb"(?i)change.?me|example|dummy|placeholder|your[-_ ]|xxxx|\*\*\*|redacted|\$\{|\{\{|%\(|todo|env(?=\W)|getenv|process\.env")
+_DUMMY_END = re.compile(rb"(?i)(?:none|null|true|false|undefined)$|env\Z")
+#: Longer than what either matches.
+_EDGE = 16
 
 
 def sensitivity(name: bytes) -> float:
@@ -83,65 +89,163 @@ def sensitivity(name: bytes) -> float:
     return max([0.0, *(_SENSITIVE.get(w, 0.0) for w in words), *(_PAIRS.get(p, 0.0) for p in zip(words, words[1:]))])
 
 
+def _angle(value: bytes) -> int:
+    """What of <[^>]+> a value has at its end: 0 nothing, 1 the <, 2 more, 3 it has all of it."""
+    *closed, last = value.split(b">")
+    if any(0 <= x.find(b"<") < len(x) - 1 for x in closed):
+        return 3
+    at = last.find(b"<")
+    return 0 if at < 0 else 1 if at == len(last) - 1 else 2
+
+
+class _Look(NamedTuple):
+    """What the strength of a value depends on, such that the looks of two values give that of both together."""
+
+    n: int
+    counts: Counter
+    quoted: bool
+    dummy: bool
+    head: bytes
+    tail: bytes
+    angle: tuple[int, int, int, int]
+
+    @classmethod
+    def of(cls, value: bytes, quoted: bool) -> _Look:
+        angle = (0, 1, 2, 3) if not value else tuple(_angle(x + value) for x in (b"", b"<", b"<x")) + (3,) if b"<" in value or b">" in value else (0, 2, 2, 3)
+        return cls(len(value), Counter(value), quoted, _DUMMY.search(value) is not None, value[:_EDGE], value[-_EDGE:], angle)
+
+    def then(self, other: _Look) -> _Look:
+        counts = self.counts.copy()
+        counts.update(other.counts)
+        dummy = self.dummy or other.dummy or _DUMMY.search(self.tail + other.head) is not None
+        return _Look(self.n + other.n, counts, self.quoted and other.quoted, dummy, (self.head + other.head)[:_EDGE], (self.tail + other.tail)[-_EDGE:], tuple(other.angle[x] for x in self.angle))
+
+    def strength(self) -> float:
+        """From 0 to 1: how much the value looks like a secret."""
+        n, counts = self.n, self.counts
+        if n < 8 or self.dummy or self.angle[0] == 3 or _DUMMY_END.search(self.tail):
+            return 0.0
+        classes = sum(any(lo <= c <= hi for c in counts) for lo, hi in ((48, 57), (65, 90), (97, 122))) + any(c < 127 and not chr(c).isalnum() for c in counts)
+        if classes < 2 or (not self.quoted and not any(48 <= c <= 57 for c in counts)) or any(c <= 32 for c in counts):
+            return 0.0
+        entropy = -sum(k / n * math.log2(k / n) for k in counts.values() if k / n)
+        return min(1.0, entropy / 4) * min(1.0, 0.6 + 0.15 * (classes - 1) + min(n, 80) / 80)
+
+
 def strength(value: bytes, quoted: bool) -> float:
-    """From 0 to 1: how much a literal looks like a secret."""
-    if len(value) < 8 or _DUMMY.search(value):
-        return 0.0
-    n, counts = len(value), Counter(value)
-    classes = sum(any(lo <= c <= hi for c in counts) for lo, hi in ((48, 57), (65, 90), (97, 122))) + any(c < 127 and not chr(c).isalnum() for c in counts)
-    if classes < 2 or (not quoted and not any(48 <= c <= 57 for c in counts)) or any(c <= 32 for c in counts):
-        return 0.0
-    entropy = -sum(k / n * math.log2(k / n) for k in counts.values())
-    return min(1.0, entropy / 4) * min(1.0, 0.6 + 0.15 * (classes - 1) + n / 80)
+    return _Look.of(value, quoted).strength()
+
 
+class _Run:
+    """Bytes without a delimiter, each end of which may be the value of a sign within: looks at ends that become shorter share their counts."""
 
-def _value(text: bytes, at: int, known: dict[bytes, list]) -> list[tuple[int, int, bool]]:
-    """The literals that the expression at a place consists of: first byte, end, whether in quotes."""
-    parts: list[tuple[int, int, bool]] = []
-    for _ in range(16):
+    def __init__(self, text: bytes, start: int, end: int) -> None:
+        self.text, self.start, self.end, self.stop = text, start, end, end
+        while self.stop > start and text[self.stop - 1] == 46:  # full stops at the end aren't of the value
+            self.stop -= 1
+        self.at, self.counts, self.last = end, None, -1
+
+    def look(self, at: int) -> _Look:
+        if self.counts is None or at < self.at:
+            value = self.text[at : self.stop]
+            self.counts, self.last = Counter(value), at - 1
+            while m := _DUMMY.search(self.text, self.last + 1, self.stop):
+                self.last = m.start()
+        else:
+            self.counts.subtract(self.text[self.at : at])
+        self.at = at
+        counts = Counter({c: k for c, k in self.counts.items() if k})
+        return _Look(max(0, self.stop - at), counts, False, self.last >= at, self.text[at : min(self.stop, at + _EDGE)], self.text[max(at, self.stop - _EDGE) : self.stop], (0, 2, 2, 3) if at < self.stop else (0, 1, 2, 3))
+
+
+class _Value:
+    """A literal (from byte start to end, in a run if it has no quotes), or a sum of values, which constants share."""
+
+    __slots__ = ("start", "end", "run", "parts", "look")
+
+    def __init__(self, start: int = 0, end: int = 0, run: _Run | None = None, parts: list[_Value] | None = None) -> None:
+        self.start, self.end, self.run, self.parts, self.look = start, end, run, parts, None
+
+    def looked(self, text: bytes) -> _Look:
+        todo = [self]
+        while todo:
+            x = todo[-1]
+            if x.look is None and x.parts is None:
+                x.look = x.run.look(x.start) if x.run else _Look.of(text[x.start : x.end], True)
+            elif x.look is None:
+                if missing := [p for p in x.parts if p.look is None]:
+                    todo += missing
+                    continue
+                x.look = x.parts[0].look
+                for p in x.parts[1:]:
+                    x.look = x.look.then(p.look)
+            todo.pop()
+        return self.look
+
+    def spans(self) -> Iterator[tuple[int, int]]:
+        """The literals, each once."""
+        todo, seen = [self], {id(self)}
+        while todo:
+            x = todo.pop()
+            if x.parts is None:
+                yield x.start, x.end
+            for p in x.parts or ():
+                if id(p) not in seen:
+                    seen.add(id(p))
+                    todo.append(p)
+
+
+def _value(text: bytes, at: int, known: dict[bytes, _Value], run: _Run) -> tuple[_Value | None, _Run]:
+    """The value of the expression at a place; the last run of bytes without a delimiter."""
+    parts: list[_Value] = []
+    while True:
         if m := _STRING.match(text, at):
-            group = m.lastgroup
-            parts.append((m.start(group), m.end(group), True))
-        elif m := _BARE.match(text, at):
-            word = m[1].rstrip(b".")
-            if _IDENTIFIER.match(word) and word in known:
-                parts += known[word]
+            parts.append(_Value(m.start(m.lastgroup), m.end(m.lastgroup)))
+            at = m.end()
+        elif m := _BLANKS.match(text, at):
+            start = m.end()
+            if not run.start <= start < run.end:
+                if not (b := _BARE.match(text, start)):
+                    break
+                run = _Run(text, start, b.end())
+            end = max(start, run.stop)
+            word = _IDENTIFIER.match(text, start, end)
+            if word and word[0] in known:
+                parts.append(known[word[0]])
             elif not parts:
-                return [(m.start(1), m.start(1) + len(word), False)]
+                return _Value(start, end, run), run
             else:
                 break
-        else:
-            break
-        at = m.end()
+            at = run.end
         if not (j := _JOIN.match(text, at)):
             break
         at = j.end()
-    return parts
+    return (parts[0] if len(parts) == 1 else _Value(parts=parts) if parts else None), run
 
 
 def lexed_spans(text: bytes) -> list[tuple[int, int, bytes, float]]:
     """First byte, end, name and score of the literals that are assigned to sensitive names."""
-    known: dict[bytes, list] = {}
+    known: dict[bytes, _Value] = {}
     best: dict[tuple[int, int], tuple[bytes, float]] = {}
+    back, run = text[::-1], _Run(text, 0, 0)
     for op in _OPERATOR.finditer(text):
-        left = text[max(0, op.start() - 96) : op.start()]
-        left = left[left.rfind(b"\n") + 1 :]
-        name = _NAME.search(left)
-        if not name:
+        found = _NAME.match(back, len(text) - op.start())
+        if not found:
             continue
-        parts = _value(text, op.end(), known)
-        if not parts:
+        value, run = _value(text, op.end(), known, run)
+        if value is None:
             continue
-        known[name[1]] = parts[:64]
-        level = sensitivity(name[1])
+        name = found[1][::-1]
+        known[name] = value
+        level = sensitivity(name)
         if not level:
             continue
-        whole = b"".join(text[a:b] for a, b, _ in parts)
-        score = 0.6 * level + 0.4 * (look := strength(whole, all(q for _, _, q in parts)))
+        look = value.looked(text).strength()
+        score = 0.6 * level + 0.4 * look
         if look and score >= THRESHOLD:
-            for a, b, _ in parts:
+            for a, b in value.spans():
                 if b > a and score > best.get((a, b), (b"", 0.0))[1]:
-                    best[a, b] = (name[1], score)
+                    best[a, b] = (name, score)
     return [(a, b, n, s) for (a, b), (n, s) in best.items()]
 
 

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -469,7 +470,7 @@ def test_assignments(text, found):
     assert [text[s.start : s.end] for s in secret_scan.find_secrets(text.encode()) if s.kind == "literal"] == found
 
 
-LONG = base64.b64encode(random.Random(3).randbytes(1 << 16)).decode().rstrip("=")
+LONG = "a8" + base64.b64encode(random.Random(3).randbytes(1 << 16)).decode().rstrip("=")
 
 
 @pytest.mark.parametrize("form", ['pwd = "{}"', "pwd = '{}';", 'pwd = """{}"""', "pwd = `{}`", "export DB_PWD={} x", "A = '{}'\npwd = A\n"])
@@ -481,6 +482,30 @@ def test_long_literals(spark, form):
         assert got[0] == form.format("[SECRET]")
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("pwd = " + " + ".join(f"'Zx{k}yy'" for k in range(40)), [f"Zx{k}yy" for k in range(40)]),
+        ("A = " + " + ".join(f"'Zx{k}yy'" for k in range(99)) + "\npwd = A", [f"Zx{k}yy" for k in range(99)]),
+        ("A = ''\n" + "".join(f"A = A + 'Zx{k}yy'\n" for k in range(5000)) + "pwd = A", [f"Zx{k}yy" for k in range(5000)]),
+        ("A = 'Zx12yy'\n" + "A = A + A\n" * 2000 + "pwd = A", ["Zx12yy"]),
+        ("A = 'exam'\nB = 'ple-Zx12345678yy'\npwd = A + B", []),
+        ("pwd" + " " * 5000 + "= 'Zx12345678yy'", ["Zx12345678yy"]),
+        ("password" + "_x" * 500 + " = 'Zx12345678yy'", ["Zx12345678yy"]),
+        ("x: " + "y" * 300 + " = 1; password : " + "T" * 300 + " = 'Zx12345678yy'", ["Zx12345678yy"]),
+    ],
+)
+def test_long_assignments(text, found):
+    assert [text[s.start : s.end] for s in secret_scan.find_secrets(text.encode()) if s.kind == "literal"] == found
+
+
+def test_assignments_in_linear_time():
+    for text in (b"pwd=a1;pwd=" + b"x.pwd=a1." * 100000, b"{" + b'"pwd": "Zx12345678yy", ' * 40000 + b"}", b"pwd='" + b"<" * 1000000 + b"'", b"pwd=`\\" * 100000):
+        at = time.monotonic()
+        secret_scan.find_secrets(text[:1000000])
+        assert time.monotonic() - at < 60
+
+
 def test_redact(spark, docs):
     df = spark.createDataFrame([(1, 'x token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" y', 5), (2, None, 6)], "doc_id long, text string, id int")
     assert [tuple(r) for r in secret_scan.redact(df).orderBy("doc_id").collect()] == [(1, 'x [SECRET]" y', 5), (2, None, 6)]
