@@ -3,16 +3,18 @@
 The documents of each source, in the table's order, form blocks of equally many. A source of weight w may place its
 block k (from 0) from slot floor(k/w) on, its release time, and must have placed it before slot ceil((k+1)/w), its
 deadline. Filling each slot with the released block of the earliest deadline keeps, at every slot, each source
-within one block of its weight. Weights are multiples of 1/PERIOD, so the schedule repeats: one period is computed,
-and a block finds its slot from its number alone. When a source has no blocks left, a new phase begins in which the
-others share its weight in proportion; so all rows are kept, once, and every phase has the property above.
+within one block of its weight. Weights are taken as they are given, as fractions without rounding. When a source has
+no blocks left, a new phase begins in which the others share its weight in proportion; so all rows are kept, once, and
+every phase has the property above.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -23,51 +25,72 @@ from pyspark.sql import functions as F
 from lamella.llm.common import extended, parallelism, slices, stored
 
 BLOCK_ROWS = 64
+#: Slots to which Phase.slots refers.
 PERIOD = 4096
-#: The schedule is sent to every task; it has PERIOD numbers a phase, and a phase for each source at most.
+#: The schedule, whose blocks have 32 bytes each, is sent to every task.
 MAX_SOURCES = 1024
 BROADCAST_ROWS = 1 << 21
-
-
-def shares(weights: list[float], period: int) -> list[int]:
-    """Slots in a period for each weight: 1 at least, the largest remainders first, and period in all."""
-    total = float(sum(weights))
-    exact = [w / total * (period - len(weights)) for w in weights]
-    out = [1 + int(x) for x in exact]
-    order = sorted(range(len(weights)), key=lambda s: (int(exact[s]) - exact[s], s))
-    for s in order[: period - sum(out)]:
-        out[s] += 1
-    return out
-
-
-def edf(slots: list[int], period: int) -> list[np.ndarray]:
-    """The slots of each source's blocks in one period: of the released blocks that of the earliest deadline goes
-    first, and of equal ones that of the first source."""
-    out: list[list[int]] = [[] for _ in slots]
-    waiting = [(0, s) for s in range(len(slots))]
-    heapq.heapify(waiting)  # by release
-    ready: list[tuple[int, int]] = []  # by deadline
-    for t in range(period):
-        while waiting and waiting[0][0] <= t:
-            s = heapq.heappop(waiting)[1]
-            heapq.heappush(ready, (-(-(len(out[s]) + 1) * period // slots[s]), s))
-        s = heapq.heappop(ready)[1]
-        out[s].append(t)
-        if len(out[s]) < slots[s]:
-            heapq.heappush(waiting, (len(out[s]) * period // slots[s], s))
-    return [np.array(x, np.int64) for x in out]
+#: A later deadline, of a weight so small that 64 bits don't hold it, is given as this.
+LAST = (1 << 63) - 1
+
+
+def placements(blocks: list[int], weights: list[float]) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """source, block, phase, slot, release and deadline, slot by slot: of the released blocks that of the earliest
+    deadline goes first, and of equal ones that of the larger weight and then of the first source.
+
+    A phase begins with the first blocks of all sources, all released, whose deadlines are in the order of the weights:
+    so they wait in one list for all phases, and a phase costs no more than its own slots."""
+    exact = [Fraction(w) for w in weights]
+    scale = math.lcm(*(w.denominator for w in exact)) if exact else 1
+    parts = [int(w * scale) for w in exact]
+    order = sorted((s for s, n in enumerate(blocks) if n), key=lambda s: (-parts[s], s))
+    head, after, before = order[0] if order else -1, dict(zip(order, [*order[1:], -1])), dict(zip(order, [-1, *order]))
+    whole, done, start, phase = sum(parts[s] for s in order), [0] * len(blocks), 0, 0
+    while head >= 0:
+        first = {}  # the sources that have begun in this phase: their first block here
+        fresh, t = head, 0
+        waiting: list[tuple[int, int]] = []  # by release
+        ready: list[tuple[int, int, int]] = []  # by deadline
+        while True:
+            while waiting and waiting[0][0] <= t:
+                s = heapq.heappop(waiting)[1]
+                heapq.heappush(ready, (-(-(done[s] - first[s] + 1) * whole // parts[s]), -parts[s], s))
+            if fresh >= 0 and (not ready or (-(-whole // parts[fresh]), -parts[fresh], fresh) < ready[0]):
+                s, fresh = fresh, after[fresh]
+                first[s] = done[s]
+            else:
+                s = heapq.heappop(ready)[2]
+            k = done[s] - first[s]
+            yield s, done[s], phase, start + t, start + k * whole // parts[s], start - (-(k + 1) * whole // parts[s])
+            done[s] += 1
+            t += 1
+            if done[s] == blocks[s]:
+                break
+            heapq.heappush(waiting, ((k + 1) * whole // parts[s], s))
+        whole, start, phase = whole - parts[s], start + t, phase + 1
+        if before[s] >= 0:
+            after[before[s]] = after[s]
+        else:
+            head = after[s]
+        if after[s] >= 0:
+            before[after[s]] = before[s]
 
 
 @dataclass
 class Phase:
-    """From slot start on: for each source its first block here, the blocks of it that are placed here, its slots in a period and their places."""
+    """length slots from slot start on, at the end of which the source last is through."""
 
     start: int
     length: int
-    first: list[int]
-    blocks: list[int]
-    slots: list[int]
-    places: list[np.ndarray]
+    last: int
+    plan: Schedule
+
+    @property
+    def slots(self) -> list[float]:
+        """For each source its blocks in a period, by its weight."""
+        through = {p.last for p in self.plan.phases if p.start < self.start}
+        active = [Fraction(w) if n and s not in through else Fraction(0) for s, (n, w) in enumerate(zip(self.plan.blocks, self.plan.weights))]
+        return [float(w / sum(active) * self.plan.period) for w in active]
 
 
 @dataclass
@@ -75,40 +98,30 @@ class Schedule:
     """All phases for sources of known numbers of blocks."""
 
     period: int
+    blocks: list[int]
+    weights: list[float]
     phases: list[Phase]
     total: int
+    #: Of each source's first block in places, whose columns are phase, slot, release and deadline.
+    base: np.ndarray
+    places: np.ndarray
 
     @classmethod
     def of(cls, blocks: list[int], weights: list[float], period: int = PERIOD) -> Schedule:
-        left, done, start, phases = list(blocks), [0] * len(blocks), 0, []
-        while any(left):
-            active = [s for s, n in enumerate(left) if n]
-            quota = shares([weights[s] for s in active], period)
-            slots, places = [0] * len(blocks), [np.zeros(0, np.int64)] * len(blocks)
-            for s, n, at in zip(active, quota, edf(quota, period)):
-                slots[s], places[s] = n, at
-            ends = [(left[s] - 1) // slots[s] * period + int(places[s][(left[s] - 1) % slots[s]]) + 1 for s in active]
-            length = min(ends)  # the first source is through
-            here = [0] * len(blocks)
-            for s in active:
-                here[s] = length // period * slots[s] + int(np.searchsorted(places[s], length % period))
-            phases.append(Phase(start, length, list(done), here, slots, places))
-            left, done, start = [a - b for a, b in zip(left, here)], [a + b for a, b in zip(done, here)], start + length
-        return cls(period, phases, start)
-
-    def find(self, source: int, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Phase, slot, release and deadline of blocks of a source."""
-        firsts = np.array([p.first[source] for p in self.phases])
-        ends = firsts + np.array([p.blocks[source] for p in self.phases])
-        phase = np.searchsorted(ends, block, side="right")
-        slot, release, deadline = (np.zeros(len(block), np.int64) for _ in range(3))
-        for f in np.unique(phase):
-            p, at = self.phases[f], phase == f
-            k, n = block[at] - p.first[source], p.slots[source]
-            slot[at] = p.start + k // n * self.period + p.places[source][k % n]
-            release[at] = p.start + k * self.period // n
-            deadline[at] = p.start - (-(k + 1) * self.period // n)
-        return phase, slot, release, deadline
+        total = sum(blocks)
+        base = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.array(blocks, np.int64))])
+        out = cls(period, list(blocks), list(weights), [], total, base, np.zeros((total, 4), np.int64))
+        begun = 0
+        for s, k, phase, slot, release, deadline in placements(blocks, weights):
+            out.places[base[s] + k] = phase, slot, release, min(deadline, LAST)
+            if k + 1 == blocks[s]:
+                out.phases.append(Phase(begun, slot + 1 - begun, s, out))
+                begun = slot + 1
+        return out
+
+    def find(self, source: int | np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Phase, slot, release and deadline of blocks of a source, or of one source each."""
+        return tuple(self.places[self.base[source] + block].T)
 
 
 def default_weights(blocks: list[int]) -> list[float]:

@@ -5,6 +5,7 @@ import hashlib
 import os
 import random
 import time
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -532,6 +533,25 @@ def test_schedule(seed):
             assert (abs(seen - (t + 1) * np.array(p.slots) / 64) < 1).all()
 
 
+@pytest.mark.parametrize(("blocks", "weights"), [([1500] + [150] * 19, [0.5] + [0.5 / 19] * 19), ([3000] + [30] * 99, [0.6] + [0.4 / 99] * 99), ([500] + [3] * 999, [0.3] + [0.7 / 999] * 999), ([40, 3, 9000], [Fraction(1, 3), 1e-9, 7])])
+def test_schedule_keeps_the_weights_that_are_given(blocks, weights):
+    plan, seen, left = mixing.Schedule.of(blocks, weights), np.zeros(len(blocks)), np.array(blocks)
+    who = np.zeros(sum(blocks), int)
+    for s, n in enumerate(blocks):
+        who[plan.find(s, np.arange(n))[1]] = s
+    at = 0
+    for p in plan.phases:
+        assert p.start == at
+        w = np.array([float(x) for x in weights]) * (left > 0)
+        seen = np.zeros(len(blocks))
+        for t in range(p.length):
+            seen[who[at + t]] += 1
+            assert abs(seen - (t + 1) * w / w.sum()).max() < 1 + 1e-6
+        left, at = left - seen.astype(int), at + p.length
+        assert left[p.last] == 0
+    assert not left.any()
+
+
 def test_mixing(spark, docs, small, empty, tmp_path):
     for k, df in enumerate((docs, small, with_clashes(docs))):
         for limit in (0, 1 << 20):
