@@ -6,15 +6,20 @@ deadline. Filling each slot with the released block of the earliest deadline kee
 within one block of its weight. Weights are taken as they are given, as fractions without rounding. When a source has
 no blocks left, a new phase begins in which the others share its weight in proportion; so all rows are kept, once, and
 every phase has the property above.
+
+The schedule is one pass over the blocks, a slot at a time, that holds a few numbers a source. Up to BROADCAST_BLOCKS
+blocks it is made in the driver and sent to every task; beyond that, one task writes it to a scratch table, with which
+the rows are joined.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass
 from fractions import Fraction
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +27,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamella.llm.common import extended, parallelism, slices, stored
+from lamella.llm.common import extended, parallelism, record_batch, slices, stored
 
 BLOCK_ROWS = 64
 #: Slots to which Phase.slots refers.
 PERIOD = 4096
-#: The schedule, whose blocks have 32 bytes each, is sent to every task.
-MAX_SOURCES = 1024
+#: A schedule of so many blocks is sent to every task, in 32 bytes each; so are the names of as many sources at most.
+BROADCAST_BLOCKS = 1 << 19
 BROADCAST_ROWS = 1 << 21
 #: A later deadline, of a weight so small that 64 bits don't hold it, is given as this.
 LAST = (1 << 63) - 1
@@ -156,14 +161,23 @@ def _places(k: int):
     return run
 
 
+def _planned(totals: Iterable[tuple[str | None, int]], weights: Mapping[str | None, float] | None, block_rows: int) -> tuple[list[str | None], list[int], list[float]]:
+    """The sources in order, their blocks and their weights."""
+    rows = sorted(totals, key=lambda x: (x[0] is None, x[0] or ""))
+    blocks = [-(-n // block_rows) for _, n in rows]
+    given = default_weights(blocks) if weights is None else [w if isinstance(w := weights.get(s, 1.0), (int, Fraction)) else float(w) for s, _ in rows]
+    return [s for s, _ in rows], blocks, given
+
+
+_PLAN = pa.schema([("source", pa.string()), ("block", pa.int64()), ("phase", pa.int32()), ("slot", pa.int64()), ("release", pa.int64()), ("deadline", pa.int64())])
 _EXTRA = [("phase", "integer"), ("block", "long"), ("seat", "integer"), ("release", "long"), ("deadline", "long"), ("slot", "long")]
 
 
-def scheduled(docs: DataFrame, weights: Mapping[str | None, float] | None = None, source_col: str = "source", block_rows: int = BLOCK_ROWS, period: int = PERIOD, mark: str = "", keep: list[str] | None = None, broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, int]:
+def scheduled(docs: DataFrame, weights: Mapping[str | None, float] | None = None, source_col: str = "source", block_rows: int = BLOCK_ROWS, period: int = PERIOD, mark: str = "", keep: list[str] | None = None, broadcast_rows: int = BROADCAST_ROWS, broadcast_blocks: int = BROADCAST_BLOCKS) -> tuple[DataFrame, int]:
     """docs (or its columns keep) with phase, block, seat (place in the block), release, deadline and slot, their names behind mark; and the number of slots.
 
     weights: a positive number for each source; one that isn't named has weight 1. Without weights: default_weights.
-    A null source is a source of its own. More than MAX_SOURCES sources raise. An empty table has no slots.
+    A null source is a source of its own, and there may be any number of them. An empty table has no slots.
     """
     spark, kept = docs.sparkSession, keep or docs.columns
     names = [f"__{n}_{mark}" for n in ("split", "at", "base", "source", "local")]
@@ -178,15 +192,16 @@ def scheduled(docs: DataFrame, weights: Mapping[str | None, float] | None = None
     counts = stored(rows.groupBy(split.alias("split"), at.alias("at"), src.alias("source")).agg(F.count("*").alias("n")), "counts")  # a row for each split and source
     before = Window.partitionBy("source").orderBy(F.length("split"), "split", "at").rowsBetween(Window.unboundedPreceding, -1)
     bases = stored(counts.select(F.xxhash64("split", "at", "source").alias("key"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "bases")
-    totals = sorted(((r["source"], r["n"]) for r in counts.groupBy("source").agg(F.sum("n").alias("n")).limit(MAX_SOURCES + 1).collect()), key=lambda x: (x[0] is None, x[0] or ""))
-    if len(totals) > min(MAX_SOURCES, period):
-        raise ValueError(f"more than {min(MAX_SOURCES, period)} sources")
-    blocks = [-(-n // block_rows) for _, n in totals]
-    given = default_weights(blocks) if weights is None else [float(weights.get(s, 1.0)) for s, _ in totals]
-    if any(w <= 0 for w in given):
-        raise ValueError("weights are positive")
-    schedule, number = Schedule.of(blocks, given, period), {s: k for k, (s, _) in enumerate(totals)}
-    sent = spark.sparkContext.broadcast(schedule)
+    totals = stored(counts.groupBy("source").agg(F.sum("n").alias("n")), "totals")
+    total = totals.agg(F.sum(F.ceil(F.col("n") / block_rows))).first()[0] or 0
+    if weights is not None:
+        low = [s for s, w in weights.items() if not w > 0]
+        if low and totals.filter(F.col("source").isin([s for s in low if s is not None]) | (F.col("source").isNull() & F.lit(None in low))).limit(1).count():
+            raise ValueError("weights are positive")
+    sent = None
+    if total <= broadcast_blocks:
+        sources, blocks, given = _planned(((r["source"], r["n"]) for r in totals.collect()), weights, block_rows)
+        sent = spark.sparkContext.broadcast((Schedule.of(blocks, given, period), {s: k for k, s in enumerate(sources)}))
     few = bases.count() <= broadcast_rows
     if not few:  # a shuffle would lose the order, so the place within the split is taken before
         rows = rows.mapInArrow(_places(len(kept)), extended(rows, {names[4]: "long"}))
@@ -197,18 +212,33 @@ def scheduled(docs: DataFrame, weights: Mapping[str | None, float] | None = None
         counter, k = _Counter(), len(kept)
         for batch in slices(batches):
             local = counter.count(batch, k, k + 1, k + 3) if few else batch.column(k + 4).to_numpy()
-            rank, n = batch.column(k + 2).to_numpy() + local, batch.num_rows
-            who = np.array([number[x] for x in batch.column(k + 3).to_pylist()], np.int64)
-            out = [np.zeros(n, np.int64) for _ in range(4)]
+            rank = batch.column(k + 2).to_numpy() + local
             block = rank // block_rows
-            for x in np.unique(who):
-                for o, v in zip(out, sent.value.find(int(x), block[who == x])):
-                    o[who == x] = v
-            phase, slot, release, deadline = out
-            extra = [pa.array(phase, pa.int32()), pa.array(block), pa.array(rank % block_rows, pa.int32()), pa.array(release), pa.array(deadline), pa.array(slot)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:k], *extra], names=[*batch.schema.names[:k], *[mark + c for c, _ in _EXTRA]])
-
-    return joined.mapInArrow(run, extended(docs.select(*plain), {mark + c: kind for c, kind in _EXTRA})), schedule.total
+            seat = pa.array(rank % block_rows, pa.int32())
+            if sent is None:
+                extra, new = [batch.column(k + 3), pa.array(block), seat], [names[3], mark + "block", mark + "seat"]
+            else:
+                schedule, number = sent.value
+                phase, slot, release, deadline = schedule.find(np.array([number[x] for x in batch.column(k + 3).to_pylist()], np.int64), block)
+                extra, new = [pa.array(phase, pa.int32()), pa.array(block), seat, pa.array(release), pa.array(deadline), pa.array(slot)], [mark + c for c, _ in _EXTRA]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:k], *extra], names=[*batch.schema.names[:k], *new])
+
+    narrow = docs.select(*plain)
+    if sent is not None:
+        return joined.mapInArrow(run, extended(narrow, {mark + c: kind for c, kind in _EXTRA})), total
+
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sources, blocks, given = _planned(((s, n) for batch in batches for s, n in zip(batch["source"].to_pylist(), batch["n"].to_pylist())), weights, block_rows)
+        rows = ((sources[s], k, phase, slot, release, min(deadline, LAST)) for s, k, phase, slot, release, deadline in placements(blocks, given))
+        while part := list(islice(rows, 1 << 15)):
+            yield record_batch(_PLAN, dict(zip(_PLAN.names, map(list, zip(*part)))))
+
+    places = stored(totals.coalesce(1).mapInArrow(plan, "source string, block long, phase integer, slot long, release long, deadline long"), "schedule")
+    places = places.select(*[F.col(c).alias(f"__place_{mark}{c}") for c in places.columns])
+    rows = joined.mapInArrow(run, extended(narrow, {names[3]: "string", mark + "block": "long", mark + "seat": "integer"}))
+    at = F.col(f"`{names[3]}`").eqNullSafe(F.col(f"`__place_{mark}source`")) & (F.col(f"`{mark}block`") == F.col(f"`__place_{mark}block`"))
+    there = {c: F.col(f"`{mark}{c}`" if c in ("block", "seat") else f"`__place_{mark}{c}`").alias(mark + c) for c, _ in _EXTRA}
+    return rows.join(places, at).select(*[F.col(f"`{c}`") for c in kept], *there.values()), total
 
 
 def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, source_col: str = "source", block_rows: int = BLOCK_ROWS, period: int = PERIOD, partitions: int | None = None) -> DataFrame:

@@ -570,6 +570,22 @@ def test_mixing(spark, docs, small, empty, tmp_path):
         mixing.mix(docs, {"a": 0.0})
 
 
+def test_mixing_of_many_sources(spark):
+    df = spark.range(9000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("host"), F.col("id") % 2500)).alias("source"), F.lit("x").alias("text")).repartition(3, "doc_id").cache()
+    got = {}
+    for limit in (0, 1 << 20):
+        for weights in (None, {None: 3, "host1": 0.5}):
+            rows, total = mixing.scheduled(df, weights, block_rows=2, mark="m_", broadcast_blocks=limit)
+            out = rows.collect()
+            assert len(out) == 9000 and {r["m_slot"] for r in out} == set(range(total))
+            assert all(r["m_release"] <= r["m_slot"] < r["m_deadline"] for r in out)
+            got[limit, weights is None] = as_sorted(out)
+    assert all(got[0, k] == got[1 << 20, k] for k in (True, False))
+    assert mixing.mix(df).count() == 9000
+    with pytest.raises(ValueError, match="positive"):
+        mixing.scheduled(df, {None: 0.0}, broadcast_blocks=0)
+
+
 # archives
 
 
