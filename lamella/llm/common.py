@@ -75,6 +75,31 @@ def stored(df: DataFrame, name: str = "table", codec: str = "zstd") -> DataFrame
     return table
 
 
+#: What may stand between a scan of files and its rows, one for one or fewer, in the files' order.
+_NARROW = {"Project", "Filter", "SubqueryAlias", "View"}
+
+
+def is_scan(df: DataFrame) -> bool:
+    """Whether df reads files as they lie: each split of a file once, its rows together and in order."""
+    plan = df._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while plan.getClass().getSimpleName() in _NARROW:
+        plan = plan.children().head()
+    relation = plan.getClass().getSimpleName() == "LogicalRelation" and plan.relation()
+    return bool(relation) and relation.getClass().getSimpleName() == "HadoopFsRelation"
+
+
+def located(df: DataFrame, columns: list[Column], split: str, at: str) -> DataFrame:
+    """The columns (of df), the file of each row and where its split begins in it. What isn't a scan of files is written
+    to a scratch table first: partitions have no number that is the same in two jobs."""
+    if not is_scan(df):
+        df = stored(df.select(*columns), "rows")
+        columns = [F.col(f"`{c}`") for c in df.columns]
+    place = df.metadataColumn("_metadata")
+    return df.select(*columns, place["file_path"].alias(split), place["file_block_start"].alias(at))
+
+
 def parallelism(df: DataFrame) -> int:
     """spark.sql.shuffle.partitions, which is set to the size of the job."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -23,11 +23,10 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamella.llm.common import extended, parallelism, record_batch, slices, stored
+from lamella.llm.common import extended, located, parallelism, record_batch, slices, stored
 
 BLOCK_ROWS = 64
 #: Slots to which Phase.slots refers.
@@ -183,11 +182,7 @@ def scheduled(docs: DataFrame, weights: Mapping[str | None, float] | None = None
     names = [f"__{n}_{mark}" for n in ("split", "at", "base", "source", "local")]
     plain = [docs[f"`{c}`"] for c in kept]
     source = docs[f"`{source_col}`"].cast("string").alias(names[3])
-    try:
-        rows = docs.select(*plain, source, F.col("_metadata.file_path").alias(names[0]), F.col("_metadata.file_block_start").alias(names[1]))
-        rows.schema  # noqa: B018 - the columns are resolved here
-    except AnalysisException:
-        rows = docs.select(*plain, source, F.lit("").alias(names[0]), F.spark_partition_id().cast("long").alias(names[1]))
+    rows = located(docs, [*plain, source], names[0], names[1])
     split, at, src = (F.col(f"`{names[k]}`") for k in (0, 1, 3))
     counts = stored(rows.groupBy(split.alias("split"), at.alias("at"), src.alias("source")).agg(F.count("*").alias("n")), "counts")  # a row for each split and source
     before = Window.partitionBy("source").orderBy(F.length("split"), "split", "at").rowsBetween(Window.unboundedPreceding, -1)

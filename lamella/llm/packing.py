@@ -7,7 +7,7 @@ sequence of tokens can be cut where the documents lie, without a shuffle of toke
 split to the next is delivered in parts, its boundary records, which alone are brought together.
 
 The order is that of the files and of the rows in them (so an input written in a certain order is packed in it);
-for an input that isn't a plain scan, that of its partitions.
+an input that isn't a plain scan is written to files first, in the order of its partitions.
 """
 
 from __future__ import annotations
@@ -17,11 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamella.llm.common import record_batch, slices, stored, view
+from lamella.llm.common import located, record_batch, slices, stored
 from lamella.llm.tokens import Encoder, default_vocabulary
 
 LENGTH = 2048
@@ -35,13 +34,8 @@ _SEQUENCES = pa.schema([("sequence_id", pa.int64()), ("offset", pa.int64()), ("i
 
 
 def placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text, and the split of the row: its file and the place in it, or its partition."""
-    rows = view(docs, doc_id=id_col, text=text_col)
-    try:
-        rows = docs.select(docs[f"`{id_col}`"].alias("doc_id"), docs[f"`{text_col}`"].alias("text"), F.col("_metadata.file_path").alias("split"), F.col("_metadata.file_block_start").alias("block"))
-        rows.schema  # noqa: B018 - the columns are resolved here
-    except AnalysisException:
-        rows = view(docs, doc_id=id_col, text=text_col).select("*", F.lit("").alias("split"), F.spark_partition_id().cast("long").alias("block"))
+    """doc_id, text, and the split of the row: its file and the place in it."""
+    rows = located(docs, [docs[f"`{id_col}`"].alias("doc_id"), docs[f"`{text_col}`"].alias("text")], "split", "block")
     return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lamella.llm import exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, quality_rules, regions, secret_scan, token_counts, warc
+from lamella.llm import common, exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, quality_rules, regions, secret_scan, token_counts, warc
 from lamella.llm.common import discard, release, scratch_dir, stored
 from lamella.llm.tokens import Encoder, default_vocabulary
 
@@ -343,6 +343,28 @@ def test_packing_follows_the_order_of_files(spark, tmp_path):
     assert order == sorted(order) and len(order) == 300
 
 
+def test_inputs_that_move_rows_of_files(spark, tmp_path):
+    """The files' splits don't number what comes behind a shuffle, a union or a generator."""
+    path = str(tmp_path / "d")
+    spark.range(600).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), (F.col("id") % 40).cast("int")).alias("text"), (F.col("id") % 3).cast("string").alias("source")).coalesce(1).write.parquet(path)
+    read = spark.read.parquet(path)
+    assert common.is_scan(read) and common.is_scan(read.filter("doc_id > 5").select("doc_id", "text")) and not common.is_scan(read.filter(F.rand() < 0.5))
+    inputs = [read, read.filter("doc_id % 7 > 0"), read.repartition(8), read.orderBy(F.desc("doc_id")), read.dropDuplicates(["text", "source"]), read.union(read), read.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2))))]
+    for df in inputs:
+        assert common.is_scan(df) == (df in inputs[:2])
+        rows = sorted(pairs(df)) if df is not inputs[4] else None
+        got = packing.pack(df, 64).collect()
+        assert len({(r["sequence_id"], r["offset"]) for r in got}) == len(got)
+        if rows:
+            check_packed(rows, got, 64)
+        full = packing.sequences(df, 64).collect()
+        assert len({r["sequence_id"] for r in full}) == len(full) and sum(r["n_tokens"] for r in full) == sum(r["length"] for r in got)
+        out = mixing.scheduled(df, block_rows=4, mark="m_")[0].collect()
+        assert len({(r["m_slot"], r["m_seat"]) for r in out}) == len(out) == df.count()
+    order = [r["doc_id"] for r in packing.pack(inputs[3], 64).orderBy("sequence_id", "offset").collect() if r["start"] == 0]
+    assert order == list(range(599, -1, -1))
+
+
 def test_sequences(docs):
     for length in (50, 2048):
         pieces, full = packing.pack(docs, length).collect(), {}
