@@ -67,6 +67,17 @@ def test_time_statistics(spark):
     assert got["d"] == (-3653.0, 17959.0) and got["t"] == (-315619200e6, 1551675967000089.0)
 
 
+def test_extremes_of_bytes_and_long_integers(spark):
+    big = (1 << 53) + 1
+    df = spark.createDataFrame([(0, bytearray(b"\xff"), big, "b", True), (1, bytearray(b"\x00\x01"), -big, "a", None), (2, None, 5, None, False)], "k int, y binary, n long, s string, b boolean")
+    got = {r["column"]: r for r in stats.column_stats(df, longs=True).collect()}
+    assert (got["y"]["min_text"], got["y"]["max_text"]) == ("0001", "FF")
+    assert (got["n"]["min_long"], got["n"]["max_long"]) == (-big, big) and got["s"]["min_long"] is None
+    rows = {(r["row_group"], r["column"]): tuple(r)[2:] for r in stats.row_group_stats(df, ["y", "n", "s", "b"], ["k"], 2, longs=True).collect()}
+    assert rows[0, "y"] == (2, 0, None, None, "0001", "FF", None, None) and rows[0, "s"] == (2, 0, None, None, "a", "b", None, None)
+    assert rows[0, "n"] == (2, 0, -float(big), float(big), None, None, -big, big) and rows[1, "y"] == (1, 1, *[None] * 6) and rows[0, "b"] == (2, 1, *[None] * 6)
+
+
 # dictionaries and encodings
 
 
