@@ -25,9 +25,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder name under spark.checkpoint.dir. Only where that is unset (tests) a temporary folder is set."""
+    """A new folder name under spark.checkpoint.dir. Where that is unset, a local master (tests) has a temporary folder;
+    executors on other machines couldn't read one, so there is none for them."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         base = getattr(scratch_dir, "own", None)
         if base is None:
             base = scratch_dir.own = "file://" + tempfile.mkdtemp(prefix="lamella-")
@@ -100,6 +103,11 @@ def located(df: DataFrame, columns: list[Column], split: str, at: str) -> DataFr
     return df.select(*columns, place["file_path"].alias(split), place["file_block_start"].alias(at))
 
 
+def place_key(*columns: Column | str) -> list[Column]:
+    """key and check: 128 bits in the place of the columns that say where a row lies, the names of files among them."""
+    return [F.xxhash64(*columns).alias("key"), F.xxhash64(F.lit("check"), *columns).alias("check")]
+
+
 def parallelism(df: DataFrame) -> int:
     """spark.sql.shuffle.partitions, which is set to the size of the job."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

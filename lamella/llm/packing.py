@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamella.llm.common import located, record_batch, slices, stored
+from lamella.llm.common import located, place_key, record_batch, slices, stored
 from lamella.llm.tokens import Encoder, default_vocabulary
 
 LENGTH = 2048
@@ -64,10 +64,10 @@ def offset_documents(tokens: DataFrame) -> DataFrame:
     totals = tokens.groupBy("split", "block").agg(F.sum("n").alias("total"))
     # a row for each input split: under a million of them for 100 TB
     order = Window.orderBy(F.length("split"), "split", "block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = stored(totals.select(F.xxhash64("split", "block").alias("at"), F.coalesce(F.sum("total").over(order), F.lit(0)).alias("base")), "offsets")
+    bases = stored(totals.select(*place_key("split", "block"), F.coalesce(F.sum("total").over(order), F.lit(0)).alias("base")), "offsets")
     if bases.count() <= BROADCAST_SPLITS:
         bases = F.broadcast(bases)
-    return tokens.withColumn("at", F.xxhash64("split", "block")).join(bases, "at").drop("at")
+    return tokens.select("*", *place_key("split", "block")).join(bases, ["key", "check"]).drop("key", "check")
 
 
 def pieces(documents: DataFrame, length: int) -> DataFrame:
