@@ -88,3 +88,23 @@ def base_secrets(text):
 
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+def earliest_deadlines(blocks, weights):
+    """(source, block) to phase, slot, release and deadline: each slot looks at all sources."""
+    done, slot, out, phase = [0] * len(blocks), 0, {}, 0
+    active = [s for s, n in enumerate(blocks) if n]
+    while active:
+        whole, first, t = sum(weights[s] for s in active), list(done), 0
+        while True:
+            k = {s: done[s] - first[s] for s in active}
+            due = {s: (-(-(k[s] + 1) * whole // weights[s]), -weights[s], s) for s in active if k[s] * whole // weights[s] <= t}
+            s = min(due, key=due.get)
+            out[s, done[s]] = phase, slot + t, slot + k[s] * whole // weights[s], slot + due[s][0]
+            done[s] += 1
+            t += 1
+            if done[s] == blocks[s]:
+                break
+        active.remove(s)
+        slot, phase = slot + t, phase + 1
+    return out

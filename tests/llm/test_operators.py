@@ -365,6 +365,23 @@ def test_inputs_that_move_rows_of_files(spark, tmp_path):
     assert order == list(range(599, -1, -1))
 
 
+def test_inputs_whose_partitions_are_coalesced(spark):
+    """Adaptive execution lays out one plan's partitions differently for each set of columns that is asked for."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic")
+    grouped = docs.groupBy("doc_id").agg(F.first("text").alias("text"), F.first("source").alias("source"))
+    halves = docs.filter("doc_id % 2 = 0").union(docs.filter("doc_id % 2 = 1")).repartition("doc_id")
+    for df in (grouped, halves, docs.join(labels, "doc_id", "left"), docs.dropDuplicates(["doc_id"])):
+        n = df.count()
+        out = mixing.mix(df)
+        assert out.count() == n == out.select("doc_id").distinct().count()
+        rows, total = mixing.scheduled(df, keep=["doc_id", "source"], mark="m_")
+        assert rows.select("m_slot", "m_seat").distinct().count() == n and rows.agg(F.max("m_slot")).first()[0] == total - 1
+        ends = packing.pack(df.withColumn("text", F.substring("text", 1, 200))).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"), F.count("*").alias("k"), F.countDistinct("offset").alias("d")).collect()
+        assert all(r["n"] == r["end"] and r["k"] == r["d"] for r in ends) and sum(r["n"] < 2048 for r in ends) <= 1
+        assert sorted(r["sequence_id"] for r in ends) == list(range(len(ends)))
+
+
 def test_sequences(docs):
     for length in (50, 2048):
         pieces, full = packing.pack(docs, length).collect(), {}
@@ -539,20 +556,34 @@ def test_redact(spark, docs):
 
 @pytest.mark.parametrize("seed", range(20))
 def test_schedule(seed):
+    """Every block's phase, slot, release and deadline, looked up and written out, with and without a short period."""
     g = random.Random(seed)
-    n = g.randint(1, 12)
-    blocks, weights = [g.randint(1, 200) for _ in range(n)], [g.random() + 0.01 for _ in range(n)]
-    plan, who = mixing.Schedule.of(blocks, weights, 64), {}
+    n = g.randint(0, 9)
+    blocks = [g.choice([0, 1, 3, 50, g.randint(1, 300)]) for _ in range(n)]
+    weights = [g.choice([1, 2, 3, 5, 0.25, 0.1, Fraction(1, 3), g.random() + 0.01]) if seed % 2 else g.choice([1, 2, 5]) for _ in range(n)]
+    want, plan, rows = plain.earliest_deadlines(blocks, [mixing.fraction(w) for w in weights]), mixing.Schedule.of(blocks, weights), {}
     for s in range(n):
-        _, slot, release, deadline = plan.find(s, np.arange(blocks[s]))
-        assert ((release <= slot) & (slot < deadline)).all()
-        who |= dict.fromkeys(slot.tolist(), s)
-    assert sorted(who) == list(range(sum(blocks)))
-    for p in plan.phases:
-        seen = np.zeros(n)
-        for t in range(p.length):
-            seen[who[p.start + t]] += 1
-            assert (abs(seen - (t + 1) * np.array(p.slots) / 64) < 1).all()
+        assert list(zip(*(x.tolist() for x in plan.find(s, np.arange(blocks[s]))))) == [want[s, k] for k in range(blocks[s])]
+    for part in mixing.placed_rows(blocks, weights, 7):
+        for s, k, *place in zip(*(map(int, part[c]) for c in ("source", "block", "phase", "slot", "release", "deadline"))):
+            rows[s, k] = tuple(place)
+    assert rows == want
+    assert sorted(x[1] for x in want.values()) == list(range(sum(blocks)))
+    assert all(release <= slot < deadline for _, slot, release, deadline in want.values())
+
+
+def test_schedule_of_a_billion_blocks():
+    """Its size is that of the periods."""
+    blocks = [int(8e8 / (k + 1) ** 1.5) for k in range(30)]
+    plan = mixing.Schedule.of(blocks, mixing.default_weights(blocks), mixing.BROADCAST_SLOTS)
+    assert plan.total == sum(blocks) > 1e9 and len(plan.slots) < 100_000
+    ends = [int(plan.find(s, np.array([n - 1]))[1][0]) for s, n in enumerate(blocks)]
+    assert max(ends) == plan.total - 1
+    weights = np.array(mixing.default_weights(blocks))
+    for s, n in enumerate(blocks):  # in the first phase each block is where its weight has it
+        k = np.linspace(0, min(n, plan.phases[0].length * weights[s] // weights.sum()) - 1, 50).astype(int)
+        assert (abs((plan.find(s, k)[1] + 1) * (weights[s] / weights.sum()) - (k + 1)) < 1.001).all()
+    assert mixing.Schedule.of([1] * 1000, [1] * 1000, 500) is None
 
 
 @pytest.mark.parametrize(("blocks", "weights"), [([1500] + [150] * 19, [0.5] + [0.5 / 19] * 19), ([3000] + [30] * 99, [0.6] + [0.4 / 99] * 99), ([500] + [3] * 999, [0.3] + [0.7 / 999] * 999), ([40, 3, 9000], [Fraction(1, 3), 1e-9, 7])])
@@ -577,7 +608,7 @@ def test_schedule_keeps_the_weights_that_are_given(blocks, weights):
 def test_mixing(spark, docs, small, empty, tmp_path):
     for k, df in enumerate((docs, small, with_clashes(docs))):
         for limit in (0, 1 << 20):
-            rows, total = mixing.scheduled(df, {"a": 3.0}, block_rows=4, period=64, mark="m_", broadcast_rows=limit)
+            rows, total = mixing.scheduled(df, {"a": 3.0}, block_rows=4, mark="m_", broadcast_rows=limit)
             got = rows.collect()
             assert len(got) == df.count() and total == len({r["m_slot"] for r in got})
             seats = {}
@@ -597,7 +628,7 @@ def test_mixing_of_many_sources(spark):
     got = {}
     for limit in (0, 1 << 20):
         for weights in (None, {None: 3, "host1": 0.5}):
-            rows, total = mixing.scheduled(df, weights, block_rows=2, mark="m_", broadcast_blocks=limit)
+            rows, total = mixing.scheduled(df, weights, block_rows=2, mark="m_", broadcast_slots=limit)
             out = rows.collect()
             assert len(out) == 9000 and {r["m_slot"] for r in out} == set(range(total))
             assert all(r["m_release"] <= r["m_slot"] < r["m_deadline"] for r in out)
@@ -605,7 +636,7 @@ def test_mixing_of_many_sources(spark):
     assert all(got[0, k] == got[1 << 20, k] for k in (True, False))
     assert mixing.mix(df).count() == 9000
     with pytest.raises(ValueError, match="positive"):
-        mixing.scheduled(df, {None: 0.0}, broadcast_blocks=0)
+        mixing.scheduled(df, {None: 0.0}, broadcast_slots=0)
 
 
 # archives
