@@ -1,8 +1,9 @@
 """Quality rules as a ledger of bits.
 
-Every text is measured once. The ledger keeps, for each document, the measurements and one long whose bit k says
-that rule k failed. A policy is a version and a mask of rules; applying one is a bitwise AND over the ledger, with
-no text read again, and what a rule does alone or beside others (an ablation) is a bitwise aggregation.
+Every text is measured once, whole, however long it is. The ledger keeps, for each document, the measurements and one
+long whose bit k says that rule k failed, and is written to a table. A policy is a version and a mask of rules; applying
+one is a bitwise AND over the ledger, with no text read again, and what a rule does alone or beside others (an ablation)
+is a bitwise aggregation.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.common import extended, record_batch, slices, utf8, view
+from lamella.llm.common import extended, record_batch, slices, stored, utf8, view
 
 WINDOW = 8
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_word_bytes", "n_alpha_words", "n_marked_words", "n_bullet_lines", "n_ellipsis_lines", "n_stutters"]
@@ -152,11 +153,12 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield record_batch(_LEDGER, {"row_id": batch["row_id"]} | {m: [r[k] for r in rows] for k, m in enumerate(MEASURES)})
 
 
-def _bits(df: DataFrame) -> DataFrame:
+def _bits(df: DataFrame, mark: str = "") -> DataFrame:
+    """df with failures, from the measurements, the names of all of which begin with mark."""
     bits = F.lit(0).cast("long")
     for k, (_, failed) in enumerate(RULES):
-        bits = bits.bitwiseOR(F.when(failed(F.col), F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
-    return df.withColumn("failures", bits)
+        bits = bits.bitwiseOR(F.when(failed(lambda m: F.col(f"`{mark}{m}`")), F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
+    return df.withColumn(f"{mark}failures", bits)
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,7 +171,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def rejected(policy: Policy, failures: str = "failures") -> Column:
-    return F.col(failures).bitwiseAND(F.lit(policy.mask)) != 0
+    return F.col(f"`{failures}`").bitwiseAND(F.lit(policy.mask)) != 0
 
 
 def ablation(book: DataFrame, policy: Policy) -> DataFrame:
@@ -185,11 +187,9 @@ def ablation(book: DataFrame, policy: Policy) -> DataFrame:
     return totals.select(rows.alias("x")).select(*[F.coalesce(f"x.{k}", F.lit(0)).alias(k) if k != "rule" else F.col("x.rule") for k in ("rule", "n_failed", "n_only", "n_kept_without")])
 
 
-def quality_filter(docs: DataFrame, policy: Policy = POLICIES[PRODUCTION], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that the policy keeps, with all their columns. Null text is rejected where few_words is a rule."""
-    names, mark = docs.columns, "__m_"
-    while any(x.startswith(mark) for x in names):
-        mark = f"_{mark}"
+def with_ledger(docs: DataFrame, mark: str = "", text_col: str = "text") -> DataFrame:
+    """The rows of docs with their lines of the ledger beside them: the measurements and failures, their names behind mark."""
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -197,23 +197,39 @@ def quality_filter(docs: DataFrame, policy: Policy = POLICIES[PRODUCTION], id_co
             extra = [pa.array([r[k] for r in rows], pa.int64()) for k in range(len(MEASURES))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*names, *[f"{mark}{m}" for m in MEASURES]])
 
-    measured = docs.mapInArrow(run, extended(docs, {f"{mark}{m}": "long" for m in MEASURES}))
-    failed = F.lit(False)
-    for r in policy.rules:
-        failed = failed | RULES[BIT[r]][1](lambda m: F.col(f"{mark}{m}"))
-    return measured.filter(~failed).select(*[F.col(f"`{x}`") for x in names])
+    return _bits(docs.mapInArrow(run, extended(docs, {f"{mark}{m}": "long" for m in MEASURES})), mark)
 
 
-def report(docs: DataFrame, policy: Policy = POLICIES[PRODUCTION]) -> DataFrame:
-    book = ledger(docs)
+def quality_filter(docs: DataFrame, policy: Policy = POLICIES[PRODUCTION], text_col: str = "text") -> DataFrame:
+    """The rows of docs that the policy keeps, with all their columns: the mask over a ledger that is written beside the
+    rows. Null text is rejected where few_words is a rule. Every column may be null in the result."""
+    names, mark = docs.columns, "__m_"
+    while any(x.startswith(mark) for x in names):
+        mark = f"_{mark}"
+    book = stored(with_ledger(docs, mark, text_col), "ledger")
+    return book.filter(~rejected(policy, f"{mark}failures")).select(*[F.col(f"`{x}`") for x in names])
+
+
+def verdicts(book: DataFrame, policy: Policy = POLICIES[PRODUCTION]) -> DataFrame:
+    """One row per line of a ledger: doc_id, the first five measurements, base_failed, kept and failures."""
     base = rejected(POLICIES["base"])
     return book.select(F.col("row_id").alias("doc_id"), *MEASURES[:5], base.alias("base_failed"), (~base & ~rejected(policy)).alias("kept"), "failures")
 
 
+def report(docs: DataFrame, policy: Policy = POLICIES[PRODUCTION]) -> DataFrame:
+    """verdicts over a ledger of docs, which is written first."""
+    return verdicts(stored(ledger(docs), "ledger"), policy)
+
+
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
     return report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def quality_ablation(spark, sf_dir: str) -> DataFrame:
+    """What each rule of the production policy does, from a stored ledger."""
+    return ablation(stored(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")), "ledger"), POLICIES[PRODUCTION])
+
+
 SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, string_split(t, chr(10)) AS ls FROM d),
@@ -241,3 +257,10 @@ b AS (
   FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 <> 0 AS base_failed, failures & 6015 = 0 AS kept, failures::BIGINT AS failures FROM b
 """
+
+_RULES_SQL = ", ".join(f"('{r}', {1 << BIT[r]})" for r in POLICIES[PRODUCTION].rules)
+ABLATION_SQL = f"""
+WITH book AS ({SQL.strip()}), hits AS (SELECT failures & {POLICIES[PRODUCTION].mask} AS hit FROM book)
+SELECT rule, count(*) FILTER (hit & bit <> 0) AS n_failed, count(*) FILTER (hit = bit) AS n_only, count(*) FILTER (hit = 0 OR hit = bit) AS n_kept_without
+FROM (VALUES {_RULES_SQL}) r(rule, bit), hits GROUP BY rule
+"""

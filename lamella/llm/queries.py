@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_warc": warc.op10_warc,
+        "quality_ablation": quality_rules.quality_ablation,
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_exact_dedup": exact_dedup.SQL,
         "op9_line_dedup": line_dedup.SQL,
         "op10_warc": warc.SQL,
+        "quality_ablation": quality_rules.ABLATION_SQL,
     }
