@@ -8,9 +8,11 @@ share; a lost executor then costs a retry of its tasks and nothing else.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 import weakref
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +21,7 @@ from pyspark.sql.types import StructType
 
 _made: dict[str, set[str]] = {}
 _tables: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_scope = threading.local()
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -38,6 +41,8 @@ def scratch_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(base)
     folder = f"{base.rstrip('/')}/lamella-{uuid.uuid4().hex}"
     _made.setdefault(spark.sparkContext.applicationId, set()).add(folder)
+    if getattr(_scope, "made", None) is not None:
+        _scope.made.append((spark, folder))
     return folder
 
 
@@ -54,6 +59,23 @@ def discard(table: DataFrame) -> None:
         _delete(table.sparkSession, folder)
 
 
+@contextmanager
+def scratch(keep: list[DataFrame]) -> Iterator[None]:
+    """Deletes the scratch tables that were made inside it when it ends, but for those whose DataFrames are put into keep."""
+    outer, made = getattr(_scope, "made", None), []
+    _scope.made = made
+    try:
+        yield
+    finally:
+        _scope.made = outer
+        kept = {_tables.get(table) for table in keep}
+        for spark, folder in made:
+            if folder not in kept:
+                _delete(spark, folder)
+            elif outer is not None:
+                outer.append((spark, folder))
+
+
 def release(spark: SparkSession) -> None:
     """Deletes all scratch tables of this application: to be called when the results that read them are written."""
     for folder in list(_made.get(spark.sparkContext.applicationId, ())):

@@ -139,8 +139,9 @@ def _with_bitmaps(docs: DataFrame, id_col: str, text_col: str, partitions: int |
     return docs.join(maps, on, "left").drop(f"{mark}id", f"{mark}fp")
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
-    """docs with the lines that an earlier document holds taken out of its text; every row and other column stays.
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None, min_words: int = 0) -> DataFrame:
+    """docs with the lines that an earlier document holds taken out of its text; every other column stays, and so does
+    every row, unless it lost lines and has fewer than min_words words left.
 
     A line's key is the line without [\\x20\\x09-\\x0D] at both ends, A-Z lower-cased. Keys of 10 code points or
     more lose all their lines but those of the smallest id. Rows with the same id are one document here: none of
@@ -153,7 +154,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             old, keep = batch.column(at), batch.column(batch.num_columns - 1).to_pylist()
             texts = [t if k is None else kept_text(t.encode(), k)[0].decode() for t, k in zip(old.to_pylist(), keep)]
             columns = [pa.array(texts, old.type) if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+            out = pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+            stays = [k is None or len(t.encode().split()) >= min_words for t, k in zip(texts, keep)] if min_words else [True]
+            yield out if all(stays) else out.filter(pa.array(stays))
 
     return _with_bitmaps(docs, id_col, text_col, partitions).mapInArrow(run, docs.schema)
 
