@@ -5,6 +5,7 @@ import hashlib
 import os
 import random
 import time
+from decimal import Decimal
 from fractions import Fraction
 
 import numpy as np
@@ -122,9 +123,14 @@ def test_exact_dedup(docs, small, empty):
 
 def test_exact_dedup_compares_texts(spark, docs):
     """With every digest the same, only the texts tell groups apart."""
-    rows = [(b"d", 1, 1, b"a", 5, 1), (b"d", 1, 1, b"b", 9, 1), (b"d", 1, 1, b"a", 7, 2), (b"d", 1, 1, b"a", None, 1)]
-    local = spark.createDataFrame(rows, "digest binary, check long, size long, content binary, win_id long, n long")
+    rows = [(b"d", 1, 1, t, i, Decimal(exact_dedup.winner(i, r)), n) for r, (t, i, n) in enumerate([(b"a", 5, 1), (b"b", 9, 1), (b"a", 7, 2), (b"a", None, 1)])]
+    local = spark.createDataFrame(rows, exact_dedup._WINNERS_DDL)
     assert sorted((r["keep_id"], r["group_size"]) for r in exact_dedup.merged(local, 2).collect()) == [(7, 4), (9, 1)]
+    want = as_sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(docs).collect())
+    for of in (lambda t: (b"d", len(t) % 2), exact_dedup.digests):
+        for hot in (1 << 20, 2):
+            got = exact_dedup.exact_dedup(docs, of=of, hot=hot).collect()
+            assert as_sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got) == want
     texts = [(t or "").translate(plain.LOWER) for _, t in pairs(docs)]
     assert exact_dedup.exact_groups(docs, salts=2).count() == sum(texts.count(t) > 1 for t in set(texts))
 
