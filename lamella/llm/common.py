@@ -130,6 +130,25 @@ def place_key(*columns: Column | str) -> list[Column]:
     return [F.xxhash64(*columns).alias("key"), F.xxhash64(F.lit("check"), *columns).alias("check")]
 
 
+#: A key of more rows than this is answered from a broadcast table, that of the HOT_KEYS largest at most.
+HOT, HOT_KEYS = 1 << 20, 1 << 17
+
+
+def looked_up(rows: DataFrame, table: DataFrame, by: str, n: str, apart: str, hot: int = HOT) -> DataFrame:
+    """rows inner-joined with a written table on the column by, unique in table, whose column n says how many rows have the
+    key. Rows of the largest keys needn't meet: these keys are sent to every task, at most HOT_KEYS of them, so that no other key has
+    more than hot rows or a HOT_KEYS-th of all; in the join of the others their rows are spread by the column apart."""
+    rest = [c for c in table.columns if c != by]
+    if table.filter(F.col(n) > hot).limit(1).count() == 0:
+        return rows.join(table, by)
+    sent = table.filter(F.col(n) > hot).orderBy(F.desc(n)).limit(HOT_KEYS).select(by, *[F.col(c).alias(f"hot_{c}") for c in rest])
+    known = F.col(f"hot_{n}").isNotNull()
+    spread = rows.join(F.broadcast(sent), by, "left").withColumn("apart_", F.when(known, F.col(apart)).otherwise(F.lit(-1)).cast("long"))
+    both = spread.join(table.withColumn("apart_", F.lit(-1).cast("long")), [by, "apart_"], "left")
+    both = both.withColumns({c: F.when(known, F.col(f"hot_{c}")).otherwise(F.col(c)) for c in rest}).filter(F.col(n).isNotNull())
+    return both.select(*rows.columns, *rest)
+
+
 def parallelism(df: DataFrame) -> int:
     """spark.sql.shuffle.partitions, which is set to the size of the job."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

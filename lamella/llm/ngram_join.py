@@ -3,19 +3,22 @@
 Two documents link when their sets of 3-word shingles share 70 % of their union. The join has these steps.
 
 1. Screen. A partner of x lacks at most 30 % of x, so a document most of whose shingles occur in no other document has
-   none. Shingles of half the hash space are counted by ranges of their hashes, each task having combined its own
-   documents' first, and each document learns how many of its own were found elsewhere. No text moves.
+   none. Shingles of half the hash space are counted by ranges of their hashes, as many as the input's size asks for, each
+   task having combined its own documents' first, and each document learns how many of its own were found elsewhere. No text moves.
 2. Classes. Documents that remain and have equal sets become one class, with a weight.
 3. Regions. Of two linked sets each contains one of any floor(0.3 n) + 1 shingles of the other. Taking a set's rarest,
    linked sets share a shingle among those; sets that share one are in the same region, and what reaches over several
    such steps is too. A region is closed: no set needs to be copied into another. Regions without a second set end here.
 4. Cells. A region is divided, in memory where it fits, by pivots into Voronoi cells, with the sets near a boundary
    replicated by the triangle inequality, again and again (regions.py). A region beyond REGION_SHINGLES is divided so
-   by a distributed step first, and cells still beyond it are compared block by block.
+   by distributed steps first, one after another while they make it smaller; cells that no pivots divide are compared block by block.
 5. Components of the links found.
 
 Pivots alone, without step 3, can't divide a corpus: nearly all of its documents are at a distance of about 1 from
 any pivot, so the windows of the triangle inequality would replicate every document into every cell.
+
+Texts of any length are taken whole. Where many rows look up one key (of a hub, a component, a text with many copies),
+common.looked_up keeps them apart.
 """
 
 from __future__ import annotations
@@ -31,18 +34,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamella.llm.common import discard, parallelism, record_batch, slices, stored, utf8, view
-from lamella.llm.regions import PERCENT, Region
+from lamella.llm.common import HOT, discard, is_scan, looked_up, parallelism, record_batch, slices, stored, utf8, view
+from lamella.llm.regions import EPS, PERCENT, Region
 
 N = 3
-#: Documents of a chunk have numbers of 11 bits, the last of which stands for none of them.
-CHUNK_DOCS = 2047
-NONE = 2047
+#: Documents of a chunk have numbers of 16 bits, the last of which stands for none of them.
+NUMBER_BITS = 16
+CHUNK_DOCS = NONE = (1 << NUMBER_BITS) - 1
 CHUNK_SHINGLES = 1 << 20
+#: Bytes of the input for each range of hashes. Ranges have at most 2^15 numbers, so that those of a chunk aren't empty.
+RANGE_BYTES = 4 << 20
+MIN_RANGE_BITS, MAX_RANGE_BITS = 4, 15
 #: What one task compares at a time: 32 MB of shingles.
 REGION_SHINGLES = 4 << 20
-CELL_PIVOTS = 32
-SALTS = 8
+#: About so many pivots divide a region beyond that, at most MAX_PIVOTS, again and again, at most LEVELS times.
+CELL_PIVOTS, MAX_PIVOTS, LEVELS = 32, 64, 8
+#: A cell that has more than this of what was divided isn't divided again.
+SHRINKS = 0.8
+#: Rows a task up to which the keys of a semi join are held in memory.
+HELD_ROWS = 1 << 20
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -93,12 +103,20 @@ def _unpack_sorted(b: bytes, kind: str) -> np.ndarray:
     return np.cumsum(_unpack(b, kind), dtype=kind)
 
 
-def _range_bits(df: DataFrame) -> int:
-    return max(4, (parallelism(df) - 1).bit_length())
+def _range_bits(size: int) -> int:
+    """Of the numbers of ranges for an input of so many bytes."""
+    return min(MAX_RANGE_BITS, max(MIN_RANGE_BITS, (max(1, size // RANGE_BYTES) - 1).bit_length()))
+
+
+def _bytes(df: DataFrame, column: str) -> int:
+    """About how many a column has: of a scan those of its files, otherwise they are summed."""
+    if is_scan(df):
+        return int(str(df.select(column)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.agg(F.sum(F.octet_length(column).cast("long"))).first()[0] or 0
 
 
 def _chunk_id(k: int) -> int:
-    return (TaskContext.get().partitionId() << 32) + k
+    return (TaskContext.get().partitionId() << 20) + k
 
 
 def _split(v: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
@@ -126,9 +144,9 @@ def _pieces(bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         counts = np.zeros((3, len(held)), np.int32)
         counts[0], counts[1] = [len(s) for *_, s in held], [len(s) for s in half]
         v = np.concatenate(half) >> np.uint64(31 - bits)
-        v = (v << np.uint64(11)) | np.repeat(np.arange(len(held), dtype=np.uint64), counts[1])
+        v = (v << np.uint64(NUMBER_BITS)) | np.repeat(np.arange(len(held), dtype=np.uint64), counts[1])
         v.sort()
-        docs, v = (v & np.uint64(NONE)).astype(np.int64), v >> np.uint64(11)
+        docs, v = (v & np.uint64(NONE)).astype(np.int64), v >> np.uint64(NUMBER_BITS)
         new = np.r_[True, v[1:] != v[:-1]] if len(v) else np.zeros(0, bool)
         alone = new & np.r_[new[1:], True] if len(v) else new
         counts[2] = np.bincount(docs[~alone], minlength=len(held))
@@ -164,7 +182,8 @@ def _found_elsewhere(table: pa.Table) -> pa.Table:
                 hit = docs[several[at] == keys]
                 hit = hit[hit != NONE]
                 if len(hit):
-                    out.append((c, _pack(np.bincount(hit, minlength=NONE).astype(np.uint32)), None, None, None))
+                    there, times = np.unique(hit, return_counts=True)
+                    out.append((c, _pack(np.concatenate([there, times]).astype(np.uint32)), None, None, None))
     names = ["chunk", "found", "ids", "fps", "counts"]
     schema = pa.schema([("chunk", pa.int64()), ("found", pa.binary()), *[(f.name, f.type) for f in _PIECES if f.name in names[2:]]])
     return pa.Table.from_batches([record_batch(schema, dict(zip(names, map(list, zip(*out)))) if out else {n: [] for n in names})])
@@ -174,7 +193,8 @@ def _verdict(table: pa.Table) -> pa.Table:
     found, row = np.zeros(NONE, np.int64), None
     for f, ids, fps, counts in zip(*(table[x].to_pylist() for x in ("found", "ids", "fps", "counts"))):
         if f is not None:
-            found += _unpack(f, "u4")
+            there, times = _unpack(f, "u4").reshape(2, -1)
+            found[there] += times
         else:
             row = ids, fps, np.frombuffer(counts, np.int32).reshape(3, -1).astype(np.int64)
     ids, fps, (n, half, local) = row
@@ -184,7 +204,7 @@ def _verdict(table: pa.Table) -> pa.Table:
 
 def screen(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, fp, text): doc_id, fp, n (size of its set) and alive, false if it has no partner."""
-    bits = _range_bits(docs)
+    bits = _range_bits(_bytes(docs, "text"))
     pieces = docs.mapInArrow(partial(_pieces, bits), _PIECES_DDL)
     found = pieces.groupBy("bin").applyInArrow(_found_elsewhere, "chunk long, found binary, ids array<long>, fps array<long>, counts binary")
     return found.groupBy("chunk").applyInArrow(_verdict, "doc_id long, fp long, n long, alive boolean")
@@ -202,18 +222,19 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds chunk, and number: the chunk and the place in it."""
+    """Adds n, the size of the set, chunk, and number: the chunk and the place in it."""
     at = k = size = 0
     for batch in slices(batches, 256):
-        chunks, numbers = [], []
+        sizes, chunks, numbers = [], [], []
         for s in batch["shingles"].to_pylist():
             if at == CHUNK_DOCS or size >= CHUNK_SHINGLES:
                 at, k, size = 0, k + 1, 0
             c = _chunk_id(k)
+            sizes.append(len(s) // 8)
             chunks.append(c)
-            numbers.append((c << 11) | at)
-            at, size = at + 1, size + len(s) // 8
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chunks, pa.int64()), pa.array(numbers, pa.int64())], names=[*batch.schema.names, "chunk", "number"])
+            numbers.append((c << NUMBER_BITS) | at)
+            at, size = at + 1, size + sizes[-1]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.int64()) for x in (sizes, chunks, numbers))], names=[*batch.schema.names, "n", "chunk", "number"])
 
 
 # 3. regions
@@ -271,7 +292,7 @@ def _rarest(bits: int, classes: pa.Table, counts: pa.Table) -> pa.Table:
 
 def rare_shingles(classes: DataFrame) -> DataFrame:
     """key and number of the shingles of each class that a linked class must share one of."""
-    bits = _range_bits(classes)
+    bits = _range_bits(_bytes(classes, "shingles"))
 
     def chunk_keys(table: pa.Table) -> pa.Table:
         return _chunk_keys(bits, table)
@@ -285,22 +306,32 @@ def rare_shingles(classes: DataFrame) -> DataFrame:
     return left.cogroup(counts.groupBy("chunk")).applyInArrow(rarest, "key long, number long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, hot: int = HOT) -> DataFrame:
     """node and component (its least node) of a graph of edges a, b. Labels spread to neighbours and, by looking up the
     label's own label, over twice the distance each time; each round is a written table."""
-    both = stored(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).filter("u <> v").distinct(), "edges")
-    labels = stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("component")), "labels")
+    both = stored(edges.select(F.col("a").alias("node"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("v"))).filter("node <> v").distinct(), "edges")
+    degrees = both.groupBy("node").agg(F.least(F.min("v"), F.col("node")).alias("component"), F.count("*").alias("degree"))
+    labels = stored(degrees, "labels")
+    few = labels.count() <= hot  # no label is that of more nodes than there are
     while True:
-        spread = both.join(labels, both["u"] == labels["node"]).select(F.col("v").alias("node"), "component").unionByName(labels).groupBy("node").agg(F.min("component").alias("component"))
-        own = spread.select(F.col("node").alias("k"), F.col("component").alias("further"))
-        jumped = spread.join(own, spread["component"] == own["k"], "left").select("node", F.least("component", "further").alias("component"))
-        after = stored(jumped, "labels")
+        spread = looked_up(both, labels, "node", "degree", "v", hot).select(F.col("v").alias("node"), "component", F.lit(0).cast("long").alias("degree"))
+        spread = spread.unionByName(labels).groupBy("node").agg(F.min("component").alias("component"), F.max("degree").alias("degree"))
+        if few:
+            own = spread.select(F.col("node").alias("k"), F.col("component").alias("further"))
+            after = stored(spread.join(own, spread["component"] == own["k"]).select("node", F.col("further").alias("component"), "degree"), "labels")
+        else:
+            spread = stored(spread, "spread")
+            users = spread.groupBy("component").agg(F.count("*").alias("users"))
+            own = stored(users.join(spread.select(F.col("node").alias("component"), F.col("component").alias("further")), "component"), "own")
+            after = stored(looked_up(spread, own, "component", "users", "node", hot).select("node", F.col("further").alias("component"), "degree"), "labels")
+            discard(spread)
+            discard(own)
         old = labels.select("node", F.col("component").alias("before"))
         done = after.join(old, "node").filter("component <> before").limit(1).count() == 0
         discard(labels)
         if done:
             discard(both)
-            return after
+            return after.drop("degree")
         labels = after
 
 
@@ -331,96 +362,142 @@ def _join_parts(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([record_batch(_LINKS, out)])
 
 
-def _to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For sets beside the pivots of their region: the cells in which each is at home or visiting."""
-    from lamella.llm.regions import _EPS
-
-    names = ["region", "cell", "number", "weight", "shingles", "home"]
-    schema = pa.schema([("region", pa.int64()), ("cell", pa.int32()), ("number", pa.int64()), ("weight", pa.int64()), ("shingles", pa.binary()), ("home", pa.bool_())])
-    for batch in slices(batches, 256):
-        rows = []
-        last, pivots = None, []
-        for region, number, weight, raw, seeds in zip(*(batch[c].to_pylist() for c in ("region", "number", "weight", "shingles", "pivots"))):
-            if region != last:
-                last, pivots = region, [np.frombuffer(x["shingles"], np.uint64) for x in sorted(seeds or [], key=lambda x: x["number"])]
-            s = np.frombuffer(raw, np.uint64)
-            if not pivots:
-                rows.append((region, 0, number, weight, raw, True))
-                continue
-            shared = np.array([np.isin(p, s, assume_unique=True).sum() for p in pivots])
-            d = 1 - shared / (np.array([len(p) for p in pivots]) + len(s) - shared)
-            near = int(d.argmin())
-            rows += [(region, j, number, weight, raw, j == near) for j in range(near + 1) if j == near or d[j] <= d[near] + 2 * (1 - PERCENT / 100) + _EPS]
-        yield record_batch(schema, dict(zip(names, map(list, zip(*rows)))))
-
-
-def region_links(members: DataFrame, limit: int = REGION_SHINGLES) -> DataFrame:
-    """number, similar and to for members (region, number, weight, shingles): partial counts, to be summed, and edges."""
-    n = F.octet_length("shingles").cast("long") / 8
-    sizes = stored(members.groupBy("region").agg(F.count("*").alias("sets"), F.sum(n).cast("long").alias("shingles_in")), "regions").filter("sets > 1")
-    held = members.join(sizes, "region")
-    total = sizes.agg(F.sum("shingles_in")).first()[0] or 0
-    bins = max(parallelism(members), -(-total // limit))
-    small = held.filter(F.col("shingles_in") <= limit).select(F.pmod(F.xxhash64("region"), F.lit(bins)).alias("bin"), F.col("region").cast("string").alias("part"), "number", "weight", "shingles", F.lit(True).alias("home"), F.lit(None).cast("int").alias("side"))
-    out = small.groupBy("bin").applyInArrow(_join_parts, _LINKS_DDL)
-    large = held.filter(F.col("shingles_in") > limit)
-    if sizes.filter(F.col("shingles_in") > limit).limit(1).count() == 0:
-        return out
-    # about CELL_PIVOTS sets of each large region, whatever its size, are its pivots
-    pivots = large.filter(F.pmod(F.xxhash64("number", F.lit(7)), F.lit(1 << 40)) < F.lit(float(CELL_PIVOTS * (1 << 40))) / F.col("sets")).groupBy("region").agg(F.collect_list(F.struct("number", "shingles")).alias("pivots"))
-    salts = F.ceil(F.col("shingles_in") / limit).cast("int")
-    seeds = sizes.filter(F.col("shingles_in") > limit).join(pivots, "region", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts))).select("region", "salt", "pivots")
-    spread = large.withColumn("salt", F.pmod(F.xxhash64("number"), salts + 1).cast("int")).join(seeds, ["region", "salt"]).select("region", "number", "weight", "shingles", "pivots")
-    cells = stored(spread.mapInArrow(_to_cells, "region long, cell int, number long, weight long, shingles binary, home boolean"), "cells")
-    blocks = F.greatest(F.lit(1), F.ceil(2 * F.sum(n) / limit)).cast("int").alias("blocks")
-    cell_sizes = stored(cells.groupBy("region", "cell").agg(blocks), "cell_sizes")
-    placed = cells.join(cell_sizes, ["region", "cell"]).withColumn("block", F.pmod(F.xxhash64("number"), F.col("blocks")).cast("int"))
-    # each block by itself, and each two blocks with the pairs between them
+_CELLS = pa.schema([("part", pa.string()), ("number", pa.int64()), ("weight", pa.int64()), ("shingles", pa.binary()), ("home", pa.bool_()), ("before", pa.int64())])
+_CELLS_DDL = "part string, number long, weight long, shingles binary, home boolean, before long"
+
+
+def cells_of(s: np.ndarray, home: bool, n: np.ndarray, keys: np.ndarray, masks: np.ndarray) -> list[tuple[int, bool]]:
+    """The cells of a set, and whether it is at home there: its nearest pivot's, and those that it visits. n: the pivots' sizes;
+    masks: bit j says that a key is in pivot j."""
+    at = np.searchsorted(keys, s)
+    at[at == len(keys)] = 0
+    bits = np.unpackbits(masks[at[keys[at] == s]].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    shared = bits.sum(axis=0, dtype=np.int64)[: len(n)]
+    d = 1 - shared / (n + len(s) - shared)
+    near, close = int(d.argmin()), d <= d.min() + 2 * (1 - PERCENT / 100) + EPS
+    # of two sets at home in different cells, that of the higher one visits the lower; a visitor visits all
+    return [(j, home and j == near) for j in np.flatnonzero(close).tolist() if not home or j <= near]
+
+
+def _divide(sets: pa.Table, seeds: pa.Table) -> pa.Table:
+    """The cells of some sets of a part, by the part's pivots."""
+    out: list[tuple] = []
+    if sets.num_rows and seeds.num_rows:
+        found = sorted(seeds["pivots"][0].as_py() or [], key=lambda x: x["number"])[:MAX_PIVOTS]
+        pivots = [np.frombuffer(x["shingles"], np.uint64) for x in found]
+        keys, place = np.unique(np.concatenate(pivots), return_inverse=True) if pivots else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        masks, at = np.zeros(len(keys), np.uint64), 0
+        for j, x in enumerate(pivots):
+            masks[place[at : at + len(x)]] |= np.uint64(1 << j)
+            at += len(x)
+        n, inside = np.array([len(x) for x in pivots]), seeds["total"][0].as_py()
+        for part, number, weight, raw, home in zip(*(sets[c].to_pylist() for c in ("part", "number", "weight", "shingles", "home"))):
+            cells = cells_of(np.frombuffer(raw, np.uint64), home, n, keys, masks) if pivots else [(0, home)]
+            out += [(f"{part}/{j}", number, weight, raw, at_home, inside) for j, at_home in cells]
+    return pa.Table.from_batches([record_batch(_CELLS, dict(zip(_CELLS.names, map(list, zip(*out)))) if out else {c: [] for c in _CELLS.names})])
+
+
+def divided(parts: DataFrame, limit: int, level: int) -> DataFrame:
+    """The cells of parts (part, number, weight, shingles, home, inside, homes), as parts."""
+    # about CELL_PIVOTS sets of each part, whatever its size, are its pivots
+    chosen = F.col("home") & (F.pmod(F.xxhash64("number", F.lit(level)), F.lit(1 << 40)) < F.lit(float(CELL_PIVOTS * (1 << 40))) / F.col("homes"))
+    pivots = parts.filter(chosen).groupBy("part").agg(F.collect_list(F.struct("number", "shingles")).alias("pivots"))
+    salts = F.ceil(F.col("inside") / limit).cast("int")
+    tasks = parts.select("part", "inside").distinct().join(pivots, "part", "left").select(F.col("part").alias("of"), F.col("inside").alias("total"), "pivots", F.explode(F.sequence(F.lit(0), salts)).alias("task"))
+    sets = parts.select("part", "number", "weight", "shingles", "home", F.pmod(F.xxhash64("number"), salts + 1).cast("int").alias("salt"))
+    return sets.groupBy("part", "salt").cogroup(tasks.groupBy("of", "task")).applyInArrow(_divide, _CELLS_DDL)
+
+
+def block_links(parts: DataFrame, limit: int) -> DataFrame:
+    """The links of parts (with inside), each block of a part by itself, and each two blocks with the pairs between them."""
+    placed = parts.withColumn("blocks", F.ceil(2 * F.col("inside") / limit).cast("int"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("number"), F.col("blocks")).cast("int"))
     pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    part = F.concat_ws("/", "region", "cell", F.least("block", "other"), F.greatest("block", "other")).alias("part")
+    part = F.concat_ws("/", "part", F.least("block", "other"), F.greatest("block", "other")).alias("part")
     side = F.when(F.col("block") != F.col("other"), F.col("block")).alias("side")
-    return out.unionByName(pairs.select(F.xxhash64(part).alias("bin"), part, "number", "weight", "shingles", "home", side).groupBy("bin").applyInArrow(_join_parts, _LINKS_DDL))
+    return pairs.select(F.xxhash64(part).alias("bin"), part, "number", "weight", "shingles", "home", side).groupBy("bin").applyInArrow(_join_parts, _LINKS_DDL)
+
+
+def part_links(parts: DataFrame, total: int, limit: int) -> DataFrame:
+    """The links of parts of at most limit shingles, about as many parts at a time as have that together."""
+    bins = max(parallelism(parts), -(-total // limit))
+    binned = parts.select(F.pmod(F.xxhash64("part"), F.lit(bins)).alias("bin"), "part", "number", "weight", "shingles", "home", F.lit(None).cast("int").alias("side"))
+    return binned.groupBy("bin").applyInArrow(_join_parts, _LINKS_DDL)
+
+
+def region_links(classes: DataFrame, regions: DataFrame, limit: int = REGION_SHINGLES, hot: int = HOT) -> DataFrame:
+    """number, similar and to of classes (number, n, weight, shingles) in regions (node, component): partial counts, to be summed, and edges."""
+    thin = classes.select("number", "n").join(regions.select(F.col("node").alias("number"), F.col("component").alias("region")), "number")
+    sizes = stored(thin.groupBy("region").agg(F.count("*").alias("sets"), F.sum("n").alias("inside")).filter("sets > 1"), "regions")
+    total, most = sizes.agg(F.sum("inside"), F.max("inside")).first()
+    placed = looked_up(thin.drop("n"), sizes, "region", "sets", "number", hot)
+    held = classes.select("number", "weight", "shingles").join(placed, "number").select(F.col("region").cast("string").alias("part"), "number", "weight", "shingles", F.lit(True).alias("home"), "inside")
+    out = part_links(held.filter(F.col("inside") <= limit), total or 0, limit)
+    if (most or 0) <= limit:
+        return out
+    parts = stored(held.filter(F.col("inside") > limit).withColumn("before", F.lit(None).cast("long")).drop("inside"), "large")
+    for level in range(LEVELS + 1):
+        n = F.octet_length("shingles").cast("long") / 8
+        each = parts.groupBy("part").agg(F.count("*").alias("sets"), F.sum(n).cast("long").alias("inside"), F.count(F.when(F.col("home"), 1)).alias("homes"))
+        each = stored(each.filter("homes > 0 AND sets > 1"), "sizes")
+        sized = looked_up(parts, each, "part", "sets", "number", hot)
+        fits, stuck = F.col("inside") <= limit, F.col("before").isNotNull() & (F.col("inside") > SHRINKS * F.col("before"))
+        if level == LEVELS:
+            stuck = F.lit(True)
+        out = out.unionByName(part_links(sized.filter(fits), each.filter(fits).agg(F.sum("inside")).first()[0] or 0, limit))
+        out = out.unionByName(block_links(sized.filter(~fits & stuck), limit))
+        left = sized.filter(~fits & ~stuck)
+        if level == LEVELS or left.limit(1).count() == 0:
+            return out
+        parts = stored(divided(left, limit, level), "cells")
+    return out
 
 
 # all of it
 
 
-def _found(docs: DataFrame, id_col: str, text_col: str, limit: int) -> tuple[DataFrame, DataFrame]:
+def _found(docs: DataFrame, id_col: str, text_col: str, limit: int, hot: int) -> tuple[DataFrame, DataFrame]:
     """The screened rows, and a row for each that isn't alone: k_id, k_fp, component (a number), n_similar, least."""
     rows = view(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("fp"))
     screened = stored(screen(rows), "screened")
     alive = screened.filter("alive").select(F.col("doc_id").alias("k_id"), F.col("fp").alias("k_fp")).distinct()
     key = rows["doc_id"].eqNullSafe(F.col("k_id")) & (rows["fp"] == F.col("k_fp"))
-    sets = stored(rows.join(alive.hint("shuffle_hash"), key, "left_semi").mapInArrow(_sets, "doc_id long, fp long, digest binary, shingles binary"), "sets")
+    sets = stored(rows.join(_held(alive, screened.filter("alive").count()), key, "left_semi").mapInArrow(_sets, "doc_id long, fp long, digest binary, shingles binary"), "sets")
     grouped = sets.groupBy("digest", "shingles").agg(F.min("doc_id").alias("least"), F.count("*").alias("weight"))
-    classes = stored(grouped.mapInArrow(_numbered, "digest binary, shingles binary, least long, weight long, chunk long, number long"), "classes")
+    classes = stored(grouped.mapInArrow(_numbered, "digest binary, shingles binary, least long, weight long, n long, chunk long, number long"), "classes")
 
     rare = stored(rare_shingles(classes), "rare")
-    leaders = rare.groupBy("key").agg(F.min("number").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    near = rare.join(leaders, "key").filter("number <> leader").select(F.col("leader").alias("a"), F.col("number").alias("b")).distinct()
-    regions = components(near)
-    members = classes.join(regions, classes["number"] == regions["node"]).select(F.col("component").alias("region"), "number", "weight", "shingles")
+    leaders = stored(rare.groupBy("key").agg(F.min("number").alias("leader"), F.count("*").alias("users")).filter("users > 1"), "leaders")
+    near = looked_up(rare, leaders, "key", "users", "number", hot).filter("number <> leader").select(F.col("leader").alias("a"), F.col("number").alias("b")).distinct()
+    regions = components(near, hot)
+    discard(rare)
+    discard(leaders)
 
-    links = stored(region_links(members, limit), "links")
+    links = stored(region_links(classes, regions, limit, hot), "links")
     similar = links.groupBy("number").agg(F.sum("similar").alias("similar"))
-    linked = components(links.filter("number <> to").select(F.col("number").alias("a"), F.col("to").alias("b")).distinct())
+    linked = components(links.filter("number <> to").select(F.col("number").alias("a"), F.col("to").alias("b")).distinct(), hot)
     known = classes.select("digest", "least", "weight", "number").join(similar, "number", "left").join(linked, F.col("number") == linked["node"], "left")
     known = known.filter((F.col("weight") > 1) | F.col("similar").isNotNull()).withColumn("component", F.coalesce("component", "number"))
-    least = known.groupBy("component").agg(F.min("least").alias("component_id"))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    known = known.join(least, "component").select("digest", "component", (F.col("weight") - 1 + F.coalesce("similar", F.lit(0))).alias("n_similar"), "component_id", salts.alias("salt"))
-    found = sets.select("doc_id", "fp", "digest", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")).join(known, ["digest", "salt"])
+    known = stored(known.select("digest", "least", "weight", "number", "component", (F.col("weight") - 1 + F.coalesce("similar", F.lit(0))).alias("n_similar")), "known")
+    least = stored(known.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("classes")), "least")
+    known = stored(looked_up(known, least, "component", "classes", "number", hot).select("digest", "component", "n_similar", "component_id", "weight"), "known")
+    found = looked_up(sets.select("doc_id", "fp", "digest"), known, "digest", "weight", "doc_id", hot)
     return screened, found.select(F.col("doc_id").alias("k_id"), F.col("fp").alias("k_fp"), "component", "n_similar", "component_id")
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = REGION_SHINGLES) -> DataFrame:
+def _held(keys: DataFrame, n: int) -> DataFrame:
+    """keys, to be held in memory for a join with texts, which needn't be sorted then, if they are few for each task."""
+    return keys.hint("shuffle_hash") if n <= HELD_ROWS * parallelism(keys) else keys
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = REGION_SHINGLES, hot: int = HOT) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, n_similar, component_id.
 
     Null or empty text, or one without words, has the empty set and is linked with nothing. Each row is a document,
     also where rows repeat an id or an id and its text; component_id is the least id that isn't null. A null id alone
     in its component has a null there. An empty table gives no rows.
     """
-    screened, found = _found(docs, id_col, text_col, limit)
+    screened, found = _found(docs, id_col, text_col, limit, hot)
     found = found.drop("component").distinct()
     key = screened["doc_id"].eqNullSafe(F.col("k_id")) & (screened["fp"] == F.col("k_fp"))
     return screened.join(found, key, "left").select(
@@ -429,18 +506,18 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
 
 
-def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = REGION_SHINGLES) -> DataFrame:
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = REGION_SHINGLES, hot: int = HOT) -> DataFrame:
     """docs with one row of each component, that of the least id (null comes last), and all rows linked with nothing;
     all columns stay. Of rows that repeat both that id and its text one stays. The other cases are those of similar_documents."""
-    _, found = _found(docs, id_col, text_col, limit)
+    _, found = _found(docs, id_col, text_col, limit, hot)
     found = stored(found.groupBy("component", "k_id", "k_fp").agg(F.count("*").alias("n")), "found")
-    one = found.groupBy("component").agg(F.min(F.struct(F.col("k_id").isNull().alias("none"), "k_id", "k_fp")).alias("one"))
-    beside = found.join(one, "component").withColumn("stays", F.col("k_id").eqNullSafe(F.col("one.k_id")) & (F.col("k_fp") == F.col("one.k_fp")))
+    one = stored(found.groupBy("component").agg(F.min(F.struct(F.col("k_id").isNull().alias("none"), "k_id", "k_fp")).alias("one"), F.count("*").alias("members")), "first")
+    beside = looked_up(found, one, "component", "members", "k_fp", hot).withColumn("stays", F.col("k_id").eqNullSafe(F.col("one.k_id")) & (F.col("k_fp") == F.col("one.k_fp")))
 
     def of(rows: DataFrame, keys: DataFrame):
         return rows[f"`{id_col}`"].cast("long").eqNullSafe(keys["k_id"]) & (F.xxhash64(rows[f"`{text_col}`"]) == keys["k_fp"])
 
-    gone = beside.filter("NOT stays").select("k_id", "k_fp").hint("shuffle_hash")
+    gone = _held(beside.filter("NOT stays").select("k_id", "k_fp"), found.count())
     kept = docs.join(gone, of(docs, gone), "left_anti")
     repeated = beside.filter("stays AND n > 1").select("k_id", "k_fp")
     if repeated.limit(1).count() == 0:

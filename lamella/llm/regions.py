@@ -15,7 +15,7 @@ import numpy as np
 PERCENT = 70
 PIVOTS = 16
 SMALL = 160
-_EPS = 1e-9
+EPS = 1e-9
 
 
 def linked(i: np.ndarray, n: np.ndarray | int, m: np.ndarray | int) -> np.ndarray:
@@ -91,7 +91,7 @@ class Region:
             i = self._shared(p, flat, ends)
             distance[:, j] = 1 - i / np.maximum(1, self.sizes[members] + self.sizes[p] - i)
         nearest = distance.argmin(axis=1)
-        close = distance <= distance.min(axis=1)[:, None] + 2 * (1 - PERCENT / 100) + _EPS
+        close = distance <= distance.min(axis=1)[:, None] + 2 * (1 - PERCENT / 100) + EPS
         resident = np.arange(len(members)) < len(home)
         cells, pairs = [], 0
         for j in range(PIVOTS):
@@ -131,8 +131,8 @@ class Region:
             sure = np.zeros(b - a - 1, bool)
             if distance is not None:
                 d = distance[a + 1 : b]
-                sure = ask & (d + distance[a] <= radius - _EPS)
-                ask = ask & ~sure & (np.abs(d - distance[a]) <= radius + _EPS)
+                sure = ask & (d + distance[a] <= radius - EPS)
+                ask = ask & ~sure & (np.abs(d - distance[a]) <= radius + EPS)
             hit = sure
             if ask.any():
                 k, lo, hi = int(members[a]), int(begins[a + 1]), int(ends[b - 1])

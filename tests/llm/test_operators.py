@@ -170,8 +170,8 @@ def check_similar(df, got):
 
 
 def test_ngram_join(docs, small, empty):
-    for df, limit in ((docs, 1 << 22), (docs, 50), (small, 1 << 22), (with_clashes(docs), 500)):
-        check_similar(df, ngram_join.similar_documents(df, limit=limit))
+    for df, limit, hot in ((docs, 1 << 22, 1 << 20), (docs, 50, 2), (small, 1 << 22, 5), (with_clashes(docs), 500, 1 << 20)):
+        check_similar(df, ngram_join.similar_documents(df, limit=limit, hot=hot))
     assert ngram_join.similar_documents(empty).collect() == []
 
 
@@ -196,7 +196,7 @@ def test_drop_similar(docs, empty):
 
 def test_screen_of_long_texts(spark, monkeypatch):
     """70,000 of a text's shingles, of one range, are found in another chunk."""
-    monkeypatch.setattr(ngram_join, "_range_bits", lambda df: 0)
+    monkeypatch.setattr(ngram_join, "_range_bits", lambda size: 0)
     text = " ".join(map(str, range(140000)))
     df = spark.range(2, numPartitions=2).select(F.col("id").alias("doc_id"), F.col("id").alias("fp"), F.lit(text).alias("text"))
     assert [tuple(r) for r in ngram_join.screen(df).orderBy("doc_id").collect()] == [(k, k, 139998, True) for k in range(2)]
@@ -209,6 +209,40 @@ def test_chains_and_components(spark):
     assert got == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 140)} | {200: 200, 201: 200}
 
 
+def test_regions_of_several_levels(spark, monkeypatch):
+    """One region, far beyond the limit, whose cells are divided again, and one of sets that no pivots tell apart."""
+    g = np.random.default_rng(3)
+    families, sets = [g.integers(0, 1 << 60, 60) for _ in range(24)], []
+    common = g.integers(0, 1 << 60, 12)
+    for k in range(420):
+        b = np.concatenate([common, families[k % 24]]) if k < 300 else families[0].copy()
+        at = g.integers(0, len(b), 9 if k < 300 else 8)
+        b[at] = g.integers(0, 1 << 60, len(at))
+        sets.append(np.unique(b).astype(np.uint64))
+    weights = g.integers(1, 4, len(sets))
+    rows = [(k, len(s), int(w), s.tobytes()) for k, (s, w) in enumerate(zip(sets, weights))]
+    classes = spark.createDataFrame(rows, "number long, n long, weight long, shingles binary")
+    regions_ = spark.createDataFrame([(k, 0) for k in range(len(sets))], "node long, component long")
+    levels, divide = [], ngram_join.divided
+    monkeypatch.setattr(ngram_join, "divided", lambda parts, limit, level: levels.append(level) or divide(parts, limit, level))
+    counts, reached = np.zeros(len(sets), int), set()
+    for a in range(len(sets)):
+        for b in range(a):
+            i = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * i >= 70 * (len(sets[a]) + len(sets[b]) - i):
+                counts[a] += weights[b]
+                counts[b] += weights[a]
+                reached |= {a, b}
+    for limit, hot in ((1500, 100), (4000, 1 << 20)):
+        levels.clear()
+        got, edges = np.zeros(len(sets), int), set()
+        for r in ngram_join.region_links(classes, regions_, limit, hot).collect():
+            got[r["number"]] += r["similar"]
+            edges |= {r["number"], r["to"]} if r["number"] != r["to"] else set()
+        assert (got == counts).all() and edges == reached
+        assert len(levels) >= 2
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_region(seed, monkeypatch):
     monkeypatch.setattr(regions, "SMALL", 8)
