@@ -134,12 +134,12 @@ def place_key(*columns: Column | str) -> list[Column]:
 HOT, HOT_KEYS = 1 << 20, 1 << 17
 
 
-def looked_up(rows: DataFrame, table: DataFrame, by: str, n: str, apart: str, hot: int = HOT) -> DataFrame:
+def looked_up(rows: DataFrame, table: DataFrame, by: str, n: str, apart: str, hot: int | None = HOT) -> DataFrame:
     """rows inner-joined with a written table on the column by, unique in table, whose column n says how many rows have the
-    key. Rows of the largest keys needn't meet: these keys are sent to every task, at most HOT_KEYS of them, so that no other key has
+    key. hot: None where no key can have very many. Rows of the largest keys needn't meet: these keys are sent to every task, at most HOT_KEYS of them, so that no other key has
     more than hot rows or a HOT_KEYS-th of all; in the join of the others their rows are spread by the column apart."""
     rest = [c for c in table.columns if c != by]
-    if table.filter(F.col(n) > hot).limit(1).count() == 0:
+    if hot is None or table.filter(F.col(n) > hot).limit(1).count() == 0:
         return rows.join(table, by)
     sent = table.filter(F.col(n) > hot).orderBy(F.desc(n)).limit(HOT_KEYS).select(by, *[F.col(c).alias(f"hot_{c}") for c in rest])
     known = F.col(f"hot_{n}").isNotNull()

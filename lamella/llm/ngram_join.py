@@ -306,29 +306,45 @@ def rare_shingles(classes: DataFrame) -> DataFrame:
     return left.cogroup(counts.groupBy("chunk")).applyInArrow(rarest, "key long, number long")
 
 
+_NODES = pa.schema([("node", pa.int64()), ("component", pa.int64())])
+
+
+def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The components of all edges that come."""
+    parts = [(batch["a"].to_numpy(), batch["b"].to_numpy()) for batch in batches]
+    a, b = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 2
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label, (u, v) = np.arange(len(nodes)), ends.reshape(2, -1)
+    while (label[u] != label[v]).any():
+        low = np.minimum(label[u], label[v])
+        np.minimum.at(label, label[u], low)
+        np.minimum.at(label, label[v], low)
+        while (label != label[label]).any():
+            label = label[label]
+    yield record_batch(_NODES, {"node": nodes, "component": nodes[label]})
+
+
 def components(edges: DataFrame, hot: int = HOT) -> DataFrame:
-    """node and component (its least node) of a graph of edges a, b. Labels spread to neighbours and, by looking up the
-    label's own label, over twice the distance each time; each round is a written table."""
-    both = stored(edges.select(F.col("a").alias("node"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("v"))).filter("node <> v").distinct(), "edges")
+    """node and component (its least node) of a graph of edges a, b. Up to hot edges are gone through in one task. Beyond
+    that labels spread to neighbours and, by looking up the label's own label, over twice the distance each time; each
+    round is a written table."""
+    few = stored(edges.filter("a <> b"), "edges")
+    if few.count() <= hot:
+        return stored(few.coalesce(1).mapInArrow(_union, "node long, component long"), "components")
+    both = stored(few.select(F.col("a").alias("node"), F.col("b").alias("v")).unionByName(few.select(F.col("b").alias("node"), F.col("a").alias("v"))).distinct(), "edges")
+    discard(few)
     degrees = both.groupBy("node").agg(F.least(F.min("v"), F.col("node")).alias("component"), F.count("*").alias("degree"))
     labels = stored(degrees, "labels")
-    few = labels.count() <= hot  # no label is that of more nodes than there are
     while True:
         spread = looked_up(both, labels, "node", "degree", "v", hot).select(F.col("v").alias("node"), "component", F.lit(0).cast("long").alias("degree"))
-        spread = spread.unionByName(labels).groupBy("node").agg(F.min("component").alias("component"), F.max("degree").alias("degree"))
-        if few:
-            own = spread.select(F.col("node").alias("k"), F.col("component").alias("further"))
-            after = stored(spread.join(own, spread["component"] == own["k"]).select("node", F.col("further").alias("component"), "degree"), "labels")
-        else:
-            spread = stored(spread, "spread")
-            users = spread.groupBy("component").agg(F.count("*").alias("users"))
-            own = stored(users.join(spread.select(F.col("node").alias("component"), F.col("component").alias("further")), "component"), "own")
-            after = stored(looked_up(spread, own, "component", "users", "node", hot).select("node", F.col("further").alias("component"), "degree"), "labels")
-            discard(spread)
-            discard(own)
+        spread = stored(spread.unionByName(labels).groupBy("node").agg(F.min("component").alias("component"), F.max("degree").alias("degree")), "spread")
+        users = spread.groupBy("component").agg(F.count("*").alias("users"))
+        own = stored(users.join(spread.select(F.col("node").alias("component"), F.col("component").alias("further")), "component"), "own")
+        after = stored(looked_up(spread, own, "component", "users", "node", hot).select("node", F.col("further").alias("component"), "degree"), "labels")
         old = labels.select("node", F.col("component").alias("before"))
         done = after.join(old, "node").filter("component <> before").limit(1).count() == 0
-        discard(labels)
+        for table in (labels, spread, own):
+            discard(table)
         if done:
             discard(both)
             return after.drop("degree")
@@ -430,7 +446,7 @@ def region_links(classes: DataFrame, regions: DataFrame, limit: int = REGION_SHI
     thin = classes.select("number", "n").join(regions.select(F.col("node").alias("number"), F.col("component").alias("region")), "number")
     sizes = stored(thin.groupBy("region").agg(F.count("*").alias("sets"), F.sum("n").alias("inside")).filter("sets > 1"), "regions")
     total, most = sizes.agg(F.sum("inside"), F.max("inside")).first()
-    placed = looked_up(thin.drop("n"), sizes, "region", "sets", "number", hot)
+    placed = looked_up(thin.drop("n"), sizes, "region", "sets", "number", hot if classes.count() > hot else None)
     held = classes.select("number", "weight", "shingles").join(placed, "number").select(F.col("region").cast("string").alias("part"), "number", "weight", "shingles", F.lit(True).alias("home"), "inside")
     out = part_links(held.filter(F.col("inside") <= limit), total or 0, limit)
     if (most or 0) <= limit:
@@ -462,13 +478,16 @@ def _found(docs: DataFrame, id_col: str, text_col: str, limit: int, hot: int) ->
     screened = stored(screen(rows), "screened")
     alive = screened.filter("alive").select(F.col("doc_id").alias("k_id"), F.col("fp").alias("k_fp")).distinct()
     key = rows["doc_id"].eqNullSafe(F.col("k_id")) & (rows["fp"] == F.col("k_fp"))
-    sets = stored(rows.join(_held(alive, screened.filter("alive").count()), key, "left_semi").mapInArrow(_sets, "doc_id long, fp long, digest binary, shingles binary"), "sets")
+    n = screened.filter("alive").count()
+    many = hot if n > hot else None  # no key below has more rows than there are
+    kept = stored if many else lambda df, name: df
+    sets = stored(rows.join(_held(alive, n), key, "left_semi").mapInArrow(_sets, "doc_id long, fp long, digest binary, shingles binary"), "sets")
     grouped = sets.groupBy("digest", "shingles").agg(F.min("doc_id").alias("least"), F.count("*").alias("weight"))
     classes = stored(grouped.mapInArrow(_numbered, "digest binary, shingles binary, least long, weight long, n long, chunk long, number long"), "classes")
 
     rare = stored(rare_shingles(classes), "rare")
-    leaders = stored(rare.groupBy("key").agg(F.min("number").alias("leader"), F.count("*").alias("users")).filter("users > 1"), "leaders")
-    near = looked_up(rare, leaders, "key", "users", "number", hot).filter("number <> leader").select(F.col("leader").alias("a"), F.col("number").alias("b")).distinct()
+    leaders = kept(rare.groupBy("key").agg(F.min("number").alias("leader"), F.count("*").alias("users")).filter("users > 1"), "leaders")
+    near = looked_up(rare, leaders, "key", "users", "number", many).filter("number <> leader").select(F.col("leader").alias("a"), F.col("number").alias("b")).distinct()
     regions = components(near, hot)
     discard(rare)
     discard(leaders)
@@ -479,9 +498,9 @@ def _found(docs: DataFrame, id_col: str, text_col: str, limit: int, hot: int) ->
     known = classes.select("digest", "least", "weight", "number").join(similar, "number", "left").join(linked, F.col("number") == linked["node"], "left")
     known = known.filter((F.col("weight") > 1) | F.col("similar").isNotNull()).withColumn("component", F.coalesce("component", "number"))
     known = stored(known.select("digest", "least", "weight", "number", "component", (F.col("weight") - 1 + F.coalesce("similar", F.lit(0))).alias("n_similar")), "known")
-    least = stored(known.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("classes")), "least")
-    known = stored(looked_up(known, least, "component", "classes", "number", hot).select("digest", "component", "n_similar", "component_id", "weight"), "known")
-    found = looked_up(sets.select("doc_id", "fp", "digest"), known, "digest", "weight", "doc_id", hot)
+    least = kept(known.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("classes")), "least")
+    known = kept(looked_up(known, least, "component", "classes", "number", many).select("digest", "component", "n_similar", "component_id", "weight"), "known")
+    found = looked_up(sets.select("doc_id", "fp", "digest"), known, "digest", "weight", "doc_id", many)
     return screened, found.select(F.col("doc_id").alias("k_id"), F.col("fp").alias("k_fp"), "component", "n_similar", "component_id")
 
 
@@ -512,12 +531,13 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     _, found = _found(docs, id_col, text_col, limit, hot)
     found = stored(found.groupBy("component", "k_id", "k_fp").agg(F.count("*").alias("n")), "found")
     one = stored(found.groupBy("component").agg(F.min(F.struct(F.col("k_id").isNull().alias("none"), "k_id", "k_fp")).alias("one"), F.count("*").alias("members")), "first")
-    beside = looked_up(found, one, "component", "members", "k_fp", hot).withColumn("stays", F.col("k_id").eqNullSafe(F.col("one.k_id")) & (F.col("k_fp") == F.col("one.k_fp")))
+    n = found.count()
+    beside = looked_up(found, one, "component", "members", "k_fp", hot if n > hot else None).withColumn("stays", F.col("k_id").eqNullSafe(F.col("one.k_id")) & (F.col("k_fp") == F.col("one.k_fp")))
 
     def of(rows: DataFrame, keys: DataFrame):
         return rows[f"`{id_col}`"].cast("long").eqNullSafe(keys["k_id"]) & (F.xxhash64(rows[f"`{text_col}`"]) == keys["k_fp"])
 
-    gone = _held(beside.filter("NOT stays").select("k_id", "k_fp"), found.count())
+    gone = _held(beside.filter("NOT stays").select("k_id", "k_fp"), n)
     kept = docs.join(gone, of(docs, gone), "left_anti")
     repeated = beside.filter("stays AND n > 1").select("k_id", "k_fp")
     if repeated.limit(1).count() == 0:

@@ -205,8 +205,8 @@ def test_screen_of_long_texts(spark, monkeypatch):
 
 def test_chains_and_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)] + [(200, 201)]
-    got = dict(ngram_join.components(spark.createDataFrame(edges, "a long, b long")).collect())
-    assert got == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 140)} | {200: 200, 201: 200}
+    got = [dict(ngram_join.components(spark.createDataFrame(edges, "a long, b long"), hot).collect()) for hot in (1 << 20, 5)]
+    assert got[0] == got[1] == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 140)} | {200: 200, 201: 200}
 
 
 def test_regions_of_several_levels(spark, monkeypatch):
