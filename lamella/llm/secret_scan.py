@@ -1,11 +1,16 @@
 """Secret scans: fixed patterns, and a lexer that is aware of assignments.
 
-The patterns find the shapes that secrets are known to have. The lexer reads what surrounds each assignment sign of
-source code and configuration (``x = "..."``, ``"x": '...'``, ``x := ...``, ``x => ...``, ``X=...``) as a pair of a
-name and a value: literals, names of earlier constants, and sums of these. Constants are propagated, so a harmless
-name whose value later reaches ``db_password`` is scored by the latter. A literal's score is how sensitive the name
-is that it is assigned to, and how much the literal looks like a secret; those beyond a threshold give further spans.
-Neither literals nor names, sums or constants have a greatest length.
+The patterns find the shapes that secrets are known to have. The lexer reads source code and configuration as strings,
+comments, braces, heads of functions and assignment signs, and pairs the name before each sign with the value behind it
+(``x = "..."``, ``"x": '...'``, ``x := ...``, ``x => ...``, ``X=...``, blocks ``x: |`` of indented lines, ``<x>...</x>`` and
+``key="x" value="..."``): literals, names of earlier constants, and sums of these. Constants are propagated, so a harmless
+name whose value later reaches ``db_password`` is scored by the latter; what a function assigns is known in it alone, and
+its parameters hide what has their names outside. What a string or a comment holds may be configuration in turn, and is
+read by itself, without the names around it.
+
+A literal's score is how sensitive the name is that it is assigned to, and how much the literal looks like a secret; those
+beyond a threshold give further spans. Neither texts nor literals, names, sums or constants have a greatest length, and
+the time is in proportion to the text's.
 """
 
 from __future__ import annotations
@@ -13,8 +18,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -58,16 +66,47 @@ def base_spans(text: bytes) -> list[tuple[str, int, int]]:
 
 # the lexer
 
-_OPERATOR = re.compile(rb"=>|:=|(?<![=!<>:])[:=](?![=:/~>])")
+_SIGN = rb"=>|:=|(?<![=!<>:])[:=](?![=:/~>])"
+#: Strings by the sign that encloses them. A quote behind a letter is an apostrophe.
+_QUOTED = {
+    b'"""': rb"(?<![\w\\])\"\"\"(?:[^\"\\]++|\\.|\"(?!\"\"))*+\"\"\"",
+    b"'''": rb"(?<![\w\\])'''(?:[^'\\]++|\\.|'(?!''))*+'''",
+    b'"': rb"(?:(?<![\w\\])|(?<=\b[rbufRBUF]))\"(?:[^\"\\\n]++|\\.)*+\"",
+    b"'": rb"(?:(?<![\w\\])|(?<=\b[rbufRBUF]))'(?:[^'\\\n]++|\\.)*+'",
+    b"`": rb"(?<![\w\\])`(?:[^`\\]++|\\.)*+`",
+}
+_COMMENT = rb"(?<!\S)#[^\n]*+|(?<![\w:/\\\"'`])//[^\n]*+|/\*|<!--"
+#: A function's head up to its brace or, in def, its parameters; other heads with a brace have words of _CONTROL.
+_HEAD = rb"\bdef[\x20\t]+\w+[\x20\t]*\((?P<def>[^()]*+)\)|\b(?P<name>\w++)[\x20\t]*\((?P<fun>[^()\n]*+)\)\s*+(?:(?:->|:)[\x20\t]*[\w.<>\[\]]++\s*+)?\{|\((?P<arrow>[^()\n]*+)\)[\x20\t]*=>[\x20\t]*\{"
+_CONTROL = {b"if", b"for", b"while", b"switch", b"catch", b"with", b"elif", b"match", b"using", b"lock", b"synchronized", b"until", b"when"}
+_ELEMENT = rb"<(?P<tag>[\w:.\-]++)>(?P<text>[^<>\n]++)</(?P=tag)>|\b(?:key|name)[\x20\t]*=[\x20\t]*(?P<q>[\"'])(?P<attr>[\w.:\-]++)(?P=q)\s++value[\x20\t]*=[\x20\t]*(?P<r>[\"'])(?P<value>[^\"'\n]*+)(?P=r)"
+_LINE = rb"\n(?P<indent>[\x20\t]*+)(?=\S)"
+_BLOCK = re.compile(rb"[\x20\t]*[|>][+\-]?\d?[\x20\t]*\r?\n")
+_BLOCK_LINE = re.compile(rb"(?P<indent>[\x20\t]*+)(?P<line>[^\r\n]*+)(?:\r?\n|\Z)")
+_PARAMETER = re.compile(rb"[A-Za-z_$][\w$]*+(?=[\x20\t]*(?:[,:=?)]|\Z))")
+
+
+@cache
+def _tokens(quotes: tuple[bytes, ...], comments: bool, lines: bool) -> re.Pattern:
+    """What the lexer stops at where strings may be enclosed by some signs only."""
+    kinds = [b"(?P<string>" + b"|".join(_QUOTED[q] for q in quotes) + b")"] if quotes else []
+    kinds += [b"(?P<comment>" + _COMMENT + b")"] if comments else []
+    kinds += [_LINE] if lines else []
+    return re.compile(b"|".join([_ELEMENT, *kinds, b"(?P<head>" + _HEAD + b")", b"(?P<brace>[{}])", b"(?P<sign>" + _SIGN + b")"]))
+
+
 #: What stands before a sign, from the sign backwards: a type and its colon, a bracket, a quote, the name.
 _NAME = re.compile(rb"[\x20\t]*+(?:(?:\]\w*\[)?[\w.]*[A-Za-z_][\x20\t]*:[\x20\t]*)?[\])]?[\"'`]?((?:[\w$]+[.\-])*[\w$]*[A-Za-z_$])")
 _STRING = re.compile(rb"[\x20\t]*(?:[rbufRBUF]{1,2})?(?:\"\"\"(?P<t>[^\\]*?)\"\"\"|\"(?P<d>(?:[^\"\\\n]++|\\.)*+)\"|'(?P<s>(?:[^'\\\n]++|\\.)*+)'|`(?P<b>(?:[^`\\]++|\\.)*+)`)")
 _BLANKS = re.compile(rb"[\x20\t]*")
 _BARE = re.compile(rb"([^\s\"'`,;&|<>(){}\[\]]++)")
 _IDENTIFIER = re.compile(rb"[A-Za-z_$][\w$]*(?:\.[\w$]+)*\Z")
-_JOIN = re.compile(rb"[\x20\t]*(?:\+|\.\.|<>|&)[\x20\t]*|[\x20\t]+(?=[\"'])")
+_JOIN = re.compile(rb"[\x20\t]*(?:\+|\.\.|<>|&)[\x20\t]*(?:\\?\r?\n[\x20\t]*)?|[\x20\t]*\\\r?\n[\x20\t]*(?=[\"'])|[\x20\t]+(?=[\"'])")
 _PARTS = re.compile(rb"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
+#: Without one of these there is no sensitive name.
+_STEMS = (b"pass", b"pwd", b"secret", b"token", b"key", b"credential", b"bearer", b"auth", b"signature", b"salt", b"seed", b"pin", b"cookie", b"jwt", b"webhook", b"conn")
+
 _SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "pass": 0.7, "secret": 1.0, "secrets": 0.9, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9,
     "bearer": 0.9, "auth": 0.7, "authorization": 0.8, "privatekey": 1.0, "accesskey": 1.0, "secretkey": 1.0, "signature": 0.6, "salt": 0.7, "seed": 0.5, "pin": 0.6, "cookie": 0.6, "jwt": 0.9, "webhook": 0.6,
@@ -195,66 +234,163 @@ class _Value:
                     todo.append(p)
 
 
-def _value(text: bytes, at: int, known: dict[bytes, _Value], run: _Run) -> tuple[_Value | None, _Run]:
+class _Names:
+    """The values of names, by function: the outermost one is the file."""
+
+    def __init__(self) -> None:
+        self.known: dict[bytes, list[tuple[int, _Value | None]]] = {}
+        self.functions: list[tuple[str, int, list[bytes]]] = [("file", -1, [])]
+
+    def get(self, name: bytes) -> _Value | None:
+        found = self.known.get(name)
+        return found[-1][1] if found else None
+
+    def set(self, name: bytes, value: _Value | None) -> None:
+        here, depth = self.known.setdefault(name, []), len(self.functions)
+        if here and here[-1][0] == depth:
+            here[-1] = depth, value
+        else:
+            here.append((depth, value))
+            self.functions[-1][2].append(name)
+
+    def enter(self, kind: str, level: int, parameters: bytes) -> None:
+        self.functions.append((kind, level, []))
+        for m in _PARAMETER.finditer(parameters):
+            self.set(m[0], None)
+
+    def leave(self, kind: str, level: int) -> None:
+        """Ends the functions of a kind that begin at this level, or, of lines, at a further one."""
+        while (top := self.functions[-1])[0] == kind and (top[1] == level if kind == "brace" else top[1] >= level):
+            for name in self.functions.pop()[2]:
+                self.known[name].pop()
+
+
+def _value(text: bytes, at: int, end: int, names: _Names, run: _Run) -> tuple[_Value | None, _Run]:
     """The value of the expression at a place; the last run of bytes without a delimiter."""
     parts: list[_Value] = []
     while True:
-        if m := _STRING.match(text, at):
+        if m := _STRING.match(text, at, end):
             parts.append(_Value(m.start(m.lastgroup), m.end(m.lastgroup)))
             at = m.end()
-        elif m := _BLANKS.match(text, at):
+        elif m := _BLANKS.match(text, at, end):
             start = m.end()
             if not run.start <= start < run.end:
-                if not (b := _BARE.match(text, start)):
+                if not (b := _BARE.match(text, start, end)):
                     break
                 run = _Run(text, start, b.end())
-            end = max(start, run.stop)
-            word = _IDENTIFIER.match(text, start, end)
-            if word and word[0] in known:
-                parts.append(known[word[0]])
+            stop = max(start, run.stop)
+            word = _IDENTIFIER.match(text, start, stop)
+            known = names.get(word[0]) if word else None
+            if known is not None:
+                parts.append(known)
             elif not parts:
-                return _Value(start, end, run), run
+                return _Value(start, stop, run), run
             else:
                 break
             at = run.end
-        if not (j := _JOIN.match(text, at)):
+        if not (j := _JOIN.match(text, at, end)):
             break
         at = j.end()
     return (parts[0] if len(parts) == 1 else _Value(parts=parts) if parts else None), run
 
 
+def _block(text: bytes, sign: int, at: int, end: int) -> tuple[_Value | None, int]:
+    """The lines of a block that are indented further than the line of its sign; where they end."""
+    first = text.rfind(b"\n", 0, sign) + 1
+    indent = len(text[first:sign]) - len(text[first:sign].lstrip(b" \t-"))
+    parts = []
+    while at < end and (m := _BLOCK_LINE.match(text, at, end)) and (not m["line"] or len(m["indent"]) > indent):
+        if m["line"]:
+            parts.append(_Value(*m.span("line")))
+        at = m.end()
+    return (_Value(parts=parts) if parts else None), at
+
+
 def lexed_spans(text: bytes) -> list[tuple[int, int, bytes, float]]:
     """First byte, end, name and score of the literals that are assigned to sensitive names."""
-    known: dict[bytes, _Value] = {}
     best: dict[tuple[int, int], tuple[bytes, float]] = {}
-    back, run = text[::-1], _Run(text, 0, 0)
-    for op in _OPERATOR.finditer(text):
-        found = _NAME.match(back, len(text) - op.start())
-        if not found:
-            continue
-        value, run = _value(text, op.end(), known, run)
-        if value is None:
-            continue
-        name = found[1][::-1]
-        known[name] = value
+    back, size = text[::-1], len(text)
+    regions: list[tuple[int, int, tuple[bytes, ...], bool]] = [(0, size, tuple(_QUOTED), True)]
+
+    def assigned(name: bytes, value: _Value) -> None:
         level = sensitivity(name)
         if not level:
-            continue
+            return
         look = value.looked(text).strength()
         score = 0.6 * level + 0.4 * look
         if look and score >= THRESHOLD:
             for a, b in value.spans():
                 if b > a and score > best.get((a, b), (b"", 0.0))[1]:
                     best[a, b] = (name, score)
+
+    while regions:
+        at, end, quotes, comments = regions.pop()
+        begin, names, run, depth, open_ended = at, _Names(), _Run(text, 0, 0), 0, set()
+        while m := _tokens(quotes, comments, names.functions[-1][0] == "lines").search(text, at, end):
+            kind, at = m.lastgroup, m.end()
+            if m["sign"]:
+                found = _NAME.match(back, size - m.start(), size - begin)
+                if not found:
+                    continue
+                if m["sign"] == b":" and (b := _BLOCK.match(text, at, end)):
+                    value, at = _block(text, m.start(), b.end(), end)
+                else:
+                    value, run = _value(text, at, end, names, run)
+                if value is not None:
+                    name = found[1][::-1]
+                    names.set(name, value)
+                    assigned(name, value)
+            elif kind == "string":
+                sign = next(q for q in quotes if text.startswith(q, m.start()))
+                inside = m.start() + len(sign), m.end() - len(sign)
+                if text.find(b"=", *inside) >= 0 or text.find(b":", *inside) >= 0:
+                    regions.append((*inside, tuple(q for q in quotes if q[:1] != sign[:1]), False))
+            elif kind == "comment":
+                closing = {b"/*": b"*/", b"<!--": b"-->"}.get(m[0])
+                if closing:
+                    at = -1 if closing in open_ended else text.find(closing, m.end(), end)
+                    if at < 0:  # isn't closed
+                        open_ended.add(closing)
+                        at = m.end()
+                        continue
+                regions.append((m.start() + 2, at, quotes, False))
+            elif m["brace"]:
+                depth += 1 if m[0] == b"{" else -1
+                if m[0] == b"}":
+                    names.leave("brace", depth)
+            elif m["tag"]:
+                assigned(m["tag"], _Value(*m.span("text")))
+            elif m["attr"]:
+                assigned(m["attr"], _Value(*m.span("value")))
+            elif m["head"]:
+                if m["def"] is not None:
+                    line = text[text.rfind(b"\n", 0, m.start()) + 1 : m.start()]
+                    names.leave("lines", len(line) - len(line.lstrip(b" \t")))
+                    names.enter("lines", len(line) - len(line.lstrip(b" \t")), m["def"])
+                else:
+                    if m["name"] not in _CONTROL:
+                        names.enter("brace", depth, m["fun"] or m["arrow"] or b"")
+                    depth += 1
+            elif m.re.groupindex.get("indent") and m["indent"] is not None:
+                names.leave("lines", len(m["indent"]))
     return [(a, b, n, s) for (a, b), (n, s) in best.items()]
 
 
+def uncovered(spans: list[tuple[int, int]], base: list[tuple[str, int, int]]) -> list[bool]:
+    """Which spans lie in no single span of base: of those that begin no later, none ends behind it."""
+    order = sorted((a, b) for _, a, b in base)
+    starts, reach = [a for a, _ in order], list(accumulate((b for _, b in order), max))
+    return [not (k := bisect_right(starts, a)) or reach[k - 1] < b for a, b in spans]
+
+
 def find_secrets(text: bytes) -> list[Span]:
     """All spans of a text, by start and then kind. A literal that a base span covers isn't given again."""
     base = base_spans(text)
     found = [(k, a, b, "", 1.0) for k, a, b in base]
-    if b"=" in text or b":" in text:
-        found += [("literal", a, b, n.decode("ascii", "replace"), round(s, 4)) for a, b, n, s in lexed_spans(text) if not any(x <= a and b <= y for _, x, y in base)]
+    if b"=" in text or b":" in text or b"</" in text:
+        lower = text.lower()
+        lexed = lexed_spans(text) if any(w in lower for w in _STEMS) else []
+        found += [("literal", a, b, n.decode("ascii", "replace"), round(s, 4)) for (a, b, n, s), new in zip(lexed, uncovered([x[:2] for x in lexed], base)) if new]
     if not found:
         return []
     if not text.isascii():
@@ -287,7 +423,8 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]", text_col: str = "text") -> DataFrame:
-    """docs with every span of the text replaced by mask (overlapping spans by one); the other columns stay."""
+    """docs with every span of the text replaced by mask (overlapping spans by one); the other columns stay. Null text stays
+    null, texts of any length are searched whole, repeated rows are all kept, and an empty table gives no rows."""
 
     def clean(text: str | None) -> str | None:
         if text is None:

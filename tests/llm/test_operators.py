@@ -590,8 +590,65 @@ def test_long_assignments(text, found):
     assert [text[s.start : s.end] for s in secret_scan.find_secrets(text.encode()) if s.kind == "literal"] == found
 
 
+SECRET = "Zx12345678yy"
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("def f(k):\n    db_pwd = k\n\nk = '{}'\n", 0),
+        ("k = '{}'\ndef f(k):\n    db_pwd = k\n", 0),
+        ("k = '{}'\ndef f(j):\n    db_pwd = k\n", 1),
+        ("def g():\n    k = '{}'\n\ndef f():\n    db_pwd = k\n", 0),
+        ("def g():\n    k = '{}'\n    if a:\n        db_pwd = k\n", 1),
+        ("function g() { const k = '{}'; }\nfunction f(x) { dbPwd = k; }", 0),
+        ("function g() { const k = '{}'; if (a) { dbPwd = k; } }", 1),
+        ("const f = (k) => { dbPwd = k }; k = '{}'", 0),
+        ("<password>{}</password>", 1),
+        ("<add key='DbPassword' value=\"{}\"/>", 1),
+        ("db:\n  private_key: |\n    {}\n    {}\n  other: x\n", 2),
+        ("conn = \"Server=a;Pwd={};\"", 1),
+        ("x = 'a'\n# pwd = '{}'\n", 1),
+        ("// pwd = '{}'", 1),
+        ("/* pwd = '{}' */ y = 1", 1),
+        ("msg = 'it is k = {}'\npwd = k", 0),
+        ("don't pwd = '{}' isn't", 1),
+        ("pwd = '{}' + \\\n   '{}'", 2),
+    ],
+)
+def test_syntax(text, found):
+    text = text.replace("{}", SECRET)
+    got = [text[s.start : s.end] for s in secret_scan.find_secrets(text.encode()) if s.kind == "literal"]
+    assert got == [SECRET] * found
+
+
+def test_planted_secrets():
+    """Random files with secrets under sensitive names, in many forms, beside literals that are none."""
+    g = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    secret = lambda: "".join(g.choice(letters) for _ in range(g.randint(14, 40))) + "7Kq"
+    forms = ["{n} = '{v}'\n", 'export {n}={v}\n', "const {n} = `{v}`;\n", '{{"{n}": "{v}"}}\n', "{n}: {v}\n", "<{n}>{v}</{n}>\n", "K{i} = '{v}'\n{n} = K{i}\n", "def f{i}():\n    {n} = '{v}'\n", "{n} := \"{v}\"\n", "x.{n} = '{v}'\n"]
+    sensitive, plain_names = ["db_pwd", "authToken", "clientSecret", "DB_PASSPHRASE", "privateKey", "jwt"], ["title", "color_scheme", "buildNumber", "path", "token_count", "passwordField", "keyboard", "file_name"]
+    prose = ["Note: the meeting is at ten. ", "We don't know; it's said that a = b. ", "See https://example.org/a?b=c#d. "]
+    hits = misses = wrong = 0
+    for k in range(150):
+        want, text = set(), ""
+        for i in range(12):
+            n, v = g.choice(sensitive if g.random() < 0.5 else plain_names), secret()
+            start = len(text)
+            text += g.choice(forms).format(n=n, v=v, i=f"{k}x{i}") + g.choice(prose) * g.randint(0, 1) + "\n"
+            if n in sensitive:
+                at = text.index(v, start)
+                want.add((at, at + len(v)))
+        got = {(s.start, s.end) for s in secret_scan.find_secrets(text.encode()) if s.kind in ("literal", "assign")}
+        covered = {w for w in want if any(a <= w[0] and w[1] <= b for a, b in got)}
+        hits, misses = hits + len(covered), misses + len(want - covered)
+        wrong += sum(not any(a <= w[0] and w[1] <= b for w in want) for a, b in got)
+    assert hits / (hits + misses) > 0.98 and hits / (hits + wrong) > 0.98
+
+
 def test_assignments_in_linear_time():
-    for text in (b"pwd=a1;pwd=" + b"x.pwd=a1." * 100000, b"{" + b'"pwd": "Zx12345678yy", ' * 40000 + b"}", b"pwd='" + b"<" * 1000000 + b"'", b"pwd=`\\" * 100000):
+    for text in (b"secret_token = 'abcdef0123456789abcd' pwd='Zx12345678yy' " * 20000, b"{" * 1000000 + b"pwd='Zx12345678yy'", b"/*pwd" * 200000, b" # pwd= " * 120000, b'""" pwd=' * 100000, b"pwd: |\n" + b" pwd: |\n" * 100000, b"\ndef f(pwd):" * 80000, b"key='pwd' value=" * 60000, b"pwd=a1;pwd=" + b"x.pwd=a1." * 100000, b"{" + b'"pwd": "Zx12345678yy", ' * 40000 + b"}", b"pwd='" + b"<" * 1000000 + b"'", b"pwd=`\\" * 100000):
         at = time.monotonic()
         secret_scan.find_secrets(text[:1000000])
         assert time.monotonic() - at < 60
@@ -600,6 +657,7 @@ def test_assignments_in_linear_time():
 def test_redact(spark, docs):
     df = spark.createDataFrame([(1, 'x token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" y', 5), (2, None, 6)], "doc_id long, text string, id int")
     assert [tuple(r) for r in secret_scan.redact(df).orderBy("doc_id").collect()] == [(1, 'x [SECRET]" y', 5), (2, None, 6)]
+    assert secret_scan.redact(df.limit(0)).collect() == []
 
 
 # mixing
