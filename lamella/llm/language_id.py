@@ -2,7 +2,7 @@
 
 Bytes are embedded, filters of several widths slide over a window of fixed length, each filter's maximum over the
 window is pooled, and a softmax layer gives the languages' probabilities. The network is trained here, in numpy, on
-windows of a bounded sample of labelled rows. A text is cut into windows that overlap by the widest filter less one
+windows of a bounded sample of labelled rows, in equal parts for each language. A text of any length is cut, whole, into windows that overlap by the widest filter less one
 byte, so that every byte sequence a filter could see lies whole in one of them; the text's probabilities are the
 windows' means, weighted by how full they are.
 
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamella.llm.common import record_batch, slices, view
@@ -27,9 +27,10 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBEDDING = 8
 STRIDE = LENGTH - max(WIDTHS) + 1
-#: The sample that the network learns from: at most so many rows, and so many windows of each.
-TRAIN_ROWS = 4000
-ROW_WINDOWS = 6
+#: The sample that the network learns from: at most so many rows and bytes, in equal shares for each of at most LANGUAGES
+#: languages (those of the most rows), of texts of at most ROW_BYTES, whole.
+TRAIN_ROWS, TRAIN_BYTES, ROW_BYTES = 4000, 16 << 20, 1 << 20
+LANGUAGES = 1024
 SEEN = 60_000
 UNKNOWN = "und"
 
@@ -179,25 +180,34 @@ class Predictor:
         return out
 
 
-def training_windows(labelled: DataFrame, rows: int = TRAIN_ROWS, each: int = ROW_WINDOWS) -> list[tuple[str, bytes]]:
-    """Windows, evenly spread over the text, of at most so many rows of labelled (id, text, lang): those whose ids' hashes are the least."""
-    h = F.xxhash64("id")
-    least = labelled.select(h.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-    if least is None:
-        return []
+def training_rows(labelled: DataFrame, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES, row_bytes: int = ROW_BYTES) -> DataFrame:
+    """lang and text of a sample of labelled (id, text, lang): for each language an equal share of the rows and of the bytes,
+    the rows whose ids' hashes are the least. Texts are taken whole; those beyond row_bytes aren't in the sample."""
+    able = labelled.filter(F.octet_length("text") <= row_bytes)
+    counts = able.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    share = max(1, rows // max(1, len(counts)))
+    part = (F.xxhash64("id").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+    known = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, (1.3 * share + 40) / r["n"])) for r in counts], "lang string, part double")
+    # a little more than a language's share, of which the rest goes; LANGUAGES rows are sent
+    near = able.withColumn("h", part).join(F.broadcast(known), "lang").filter(F.col("h") < F.col("part"))
+    order = Window.partitionBy("lang").orderBy("h", "id", "text")
+    placed = near.withColumn("k", F.row_number().over(order)).withColumn("upto", F.sum(F.octet_length("text").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return placed.filter((F.col("k") <= share) & ((F.col("upto") <= size // max(1, len(counts))) | (F.col("k") == 1))).select("lang", "text")
+
+
+def training_windows(labelled: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[str, bytes]]:
+    """All windows of training_rows that have a letter in their text, with their language."""
     schema = pa.schema([("lang", pa.string()), ("window", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out = []
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
-                if text and any(map(str.isalpha, text)):
-                    windows, _ = cut(to_bytes(text))
-                    out += [(lang, windows[k].tobytes()) for k in sorted(set(np.linspace(0, len(windows) - 1, each).astype(int).tolist()))]
+                if any(map(str.isalpha, text)):
+                    out += [(lang, w.tobytes()) for w in cut(to_bytes(text))[0]]
             yield record_batch(schema, {"lang": [x for x, _ in out], "window": [x for _, x in out]})
 
-    chosen = labelled.filter(h <= least).limit(rows).select("lang", "text")
-    return sorted((r["lang"], bytes(r["window"])) for r in chosen.mapInArrow(run, "lang string, window binary").collect())
+    return sorted((r["lang"], bytes(r["window"])) for r in training_rows(labelled, rows).mapInArrow(run, "lang string, window binary").collect())
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> Network:
