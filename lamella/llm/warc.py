@@ -2,7 +2,8 @@
 
 A capture is written as a request, a response (or a revisit of an equal payload) and a metadata record, the first
 and the last of which name the second in WARC-Concurrent-To. Archives are read record by record, in parallel over
-files; the records are joined through these identifiers into one nested row per capture.
+files; the records are joined through these identifiers into one nested row per capture. Payloads of any length are
+written and read whole.
 """
 
 from __future__ import annotations
@@ -194,6 +195,8 @@ def records(file: pa.NativeFile) -> Iterator[dict]:
             raise ValueError("this isn't a WARC archive")
         fields = _folded(head.split(b"\n", 1)[1] if b"\n" in head else b"")
         named = {k.lower(): v for k, v in fields}
+        if not named.get("content-length", "").isdecimal():
+            raise ValueError("a record has no Content-Length")
         block = stream.take(int(named["content-length"]))
         http, payload = None, block
         if named.get("content-type", "").startswith("application/http") and b"\r\n\r\n" in block:
@@ -208,7 +211,8 @@ def records(file: pa.NativeFile) -> Iterator[dict]:
 
 def read_warc(files: DataFrame) -> DataFrame:
     """One row per record of the archives (a DataFrame with the column file): file, place, type, record_id,
-    concurrent_to, target_uri, date, payload_digest, headers (names in lower case), http, payload, and payload_bytes and payload_sha1. What isn't an archive raises."""
+    concurrent_to, target_uri, date, payload_digest, headers (names in lower case), http, payload, and payload_bytes and payload_sha1. Records of any length are read whole. What isn't an archive, ends within a
+    record, or has a record without a Content-Length raises."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,7 +272,8 @@ def _field(name: str) -> Column:
 def archived_pages(files: DataFrame) -> DataFrame:
     """One row per page of archives that write_warc wrote: page_id, payload_bytes, payload_digest, record_type and
     refers_to. Bytes and digest are computed from the payload read; those of a revisit from that of the response it
-    refers to, which is found by page id and labelled digest. A payload that doesn't have its labelled digest raises."""
+    refers to, which is found by page id and labelled digest. A revisit whose response isn't in these archives has its
+    labelled digest and null payload_bytes. A payload that doesn't have its labelled digest raises."""
     found = read_warc(files)
     found = stored(found.withColumn("payload", F.when(F.col("type").isin("request", "metadata"), F.col("payload"))), "records")  # what is joined has no pages in it
     rows = transactions(found).select(
@@ -280,7 +285,7 @@ def archived_pages(files: DataFrame) -> DataFrame:
     origins = rows.filter("kind = 'revisit'").select(F.col("refers_to").alias("page_id"), "label").distinct().join(responses.select("page_id", "label", "n", "digest").distinct(), ["page_id", "label"])
     origins = origins.select(F.col("page_id").alias("refers_to"), "label", "n", "digest").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salt = F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")
-    revisits = rows.filter("kind = 'revisit'").drop("n", "digest").withColumn("salt", salt).join(origins, ["refers_to", "label", "salt"])
+    revisits = rows.filter("kind = 'revisit'").drop("n", "digest").withColumn("salt", salt).join(origins, ["refers_to", "label", "salt"], "left").withColumn("digest", F.coalesce("digest", "label"))
     both = responses.unionByName(revisits.drop("salt"))
     right = F.when(F.col("digest") == F.col("label"), F.col("digest")).otherwise(F.raise_error(F.concat(F.lit("the payload isn't that of its digest: page "), F.col("page_id").cast("string"))))
     return both.select("page_id", F.col("n").alias("payload_bytes"), right.alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")

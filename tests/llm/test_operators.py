@@ -5,6 +5,7 @@ import hashlib
 import os
 import random
 import time
+import zlib
 from decimal import Decimal
 from fractions import Fraction
 
@@ -489,6 +490,42 @@ def test_language_id(spark, docs, empty):
     assert {r["lang_pred"] for r in language_id.predict(docs, language_id.fit(empty)).collect()} == {"und"}
 
 
+def test_language_training_rows(spark):
+    """Equal shares, of the least hashes, of whole texts."""
+    rows = [(k, "a" * (k % 50), "en" if k % 10 else ("fr", "de")[k // 10 % 2]) for k in range(4000)] + [(9000, "b" * 5000, "en"), (9001, None, "en"), (9002, "c", None), (9003, "d", "xx")]
+    df = spark.createDataFrame(rows, "id long, text string, lang string").repartition(3)
+    h = {r["id"]: r["h"] for r in df.select("id", F.xxhash64("id").alias("h")).collect()}
+    got = {}
+    for r in language_id.training_rows(df.filter("lang IS NOT NULL"), 400, row_bytes=1000).collect():
+        got.setdefault(r["lang"], []).append(r["text"])
+    for lang, texts in got.items():
+        able = sorted((h[i], t) for i, t, x in rows if x == lang and t is not None and len(t) <= 1000)
+        assert sorted(texts) == sorted(t for _, t in able[:100])
+    assert sorted(got) == ["de", "en", "fr", "xx"]
+    some = language_id.training_rows(df.filter("lang = 'en'"), 400, size=2000, row_bytes=1000).collect()
+    assert 0 < sum(len(r["text"]) for r in some) <= 2000
+
+
+def test_language_of_whole_texts(spark, docs):
+    """The mean over a text's windows, by the network itself; and which ids are held out."""
+    net = language_id.train(np.random.default_rng(0).integers(97, 123, (64, language_id.LENGTH)).astype(np.uint8), np.arange(64) % 2, ["a", "b"], seen=640)
+    want = {}
+    for i, t in pairs(docs):
+        data, p, total = (t or "").lower().encode(), np.zeros(2), 0
+        for at in range(0, max(1, len(data) - 3), language_id.STRIDE):
+            w = np.zeros(language_id.LENGTH, np.uint8)
+            part = np.frombuffer(data[at : at + language_id.LENGTH], np.uint8)
+            w[: len(part)] = part
+            e, fill = net.embedding[w], max(1, min(len(data) - at, language_id.STRIDE))
+            pooled = [(sum(e[j : language_id.LENGTH - n + 1 + j] @ k[j] for j in range(n)) + b).max(axis=0) for n, k, b in zip(language_id.WIDTHS, net.filters, net.biases)]
+            p, total = p + fill * language_id.softmax(np.maximum(np.concatenate(pooled), 0)[None] @ net.last + net.last_bias)[0], total + fill
+        want.setdefault(i, []).append(("und", 0.0) if not any(c.isalpha() for c in t or "") else (["a", "b"][int(p.argmax())], float(p.max() / total)))
+    for r in language_id.predict(docs, net).collect():
+        assert any(r["lang_pred"] == x and abs(r["score"] - y) < 1e-4 for x, y in want[r["doc_id"]])
+    held = {r["doc_id"]: r["h"] for r in docs.select("doc_id", language_id.held_out(F.col("doc_id")).alias("h")).collect()}
+    assert held == {i: i is not None and zlib.crc32(str(i).encode()) % 3 == 1 for i in held}
+
+
 def test_language_gradients():
     g = np.random.default_rng(0)
     net = language_id.Network.new(["a", "b", "c"])
@@ -775,6 +812,18 @@ def test_warc(spark, tmp_path):
     assert sorted(bytes(r["payload"]) for r in nested if r["kind"] == "response") == sorted(b for (i, b), w in zip(rows, want) if w[3] == "response")
 
 
+def test_warc_of_some_archives(spark, tmp_path):
+    """A revisit whose response is elsewhere stays, with the digest of its label; a record without a length raises."""
+    big = b"<p>x</p>" * 300
+    sha1 = hashlib.sha1(big).hexdigest()
+    (tmp_path / "b.warc").write_bytes(b"".join(warc.capture(1, "http://a/", big, sha1, (2, "http://b/")) + warc.capture(3, None, b"own", hashlib.sha1(b"own").hexdigest(), None)))
+    got = warc.archived_pages(spark.createDataFrame([(f"file://{tmp_path}/b.warc",)], "file string")).collect()
+    assert as_sorted(map(tuple, got)) == [(1, None, sha1, "revisit", 2), (3, 3, hashlib.sha1(b"own").hexdigest(), "response", None)]
+    (tmp_path / "a.warc").write_bytes(b"WARC/1.0\r\nWARC-Type: response\r\n\r\nbody\r\n\r\n")
+    with pytest.raises(Exception, match="no Content-Length"):
+        warc.read_warc(spark.createDataFrame([(f"file://{tmp_path}/a.warc",)], "file string")).collect()
+
+
 def test_warc_empty(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     written = warc.write_warc(df, f"{scratch_dir(spark)}/w")
