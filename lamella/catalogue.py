@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamella.functions import collections as lists
-from lamella.functions import handlers, hashes, temporal
-from lamella.operators import bitpack, dictionary, encodings, levels, stats
+from lamella.functions import handlers, temporal
+from lamella.operators import dictionary, encodings, levels, stats
 from lamella.plans.numbering import numbered
 from lamella.schema import ColumnTree, from_struct_type
 from lamella.sources import footer
@@ -194,21 +194,6 @@ def hybrid_size(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("l_returnflag", "n", encodings.hybrid_size(F.col("n"), dictionary.bit_width(F.col("top"))).alias("bytes"))
 
 
-@query()
-def bitpack_bytes(spark: SparkSession, sf: str) -> DataFrame:
-    return bitpack.encode_pages(table(spark, sf, "orders"), "o_custkey", ["o_orderkey"], "RLE")
-
-
-@query()
-def delta_bytes(spark: SparkSession, sf: str) -> DataFrame:
-    return bitpack.encode_pages(table(spark, sf, "orders"), "o_custkey", ["o_orderkey"], "DELTA_BINARY_PACKED")
-
-
-@query()
-def front_bytes(spark: SparkSession, sf: str) -> DataFrame:
-    return bitpack.encode_pages(table(spark, sf, "customer"), "c_name", ["c_custkey"], "DELTA_BYTE_ARRAY")
-
-
 # levels
 
 
@@ -381,22 +366,6 @@ def footer_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return footer.chunks(spark, f"{sf}/lineitem.parquet").select("row_group", "column", "path", "codec", "num_values", "null_count", "compressed_size", "uncompressed_size")
 
 
-@query()
-def schema_leaves(spark: SparkSession, sf: str) -> DataFrame:
-    return footer.columns(spark, f"{sf}/embeddings.parquet")
-
-
-@query()
-def kv_metadata(spark: SparkSession, sf: str) -> DataFrame:
-    return footer.footer(spark, f"{sf}/orders.parquet", "kv")
-
-
-@query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem")
-def row_group_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """All row groups, by their places in the files."""
-    return scan(spark, f"{sf}/lineitem.parquet", ScanOptions(columns=tuple(LINE), skip_row_groups=(999_999,)))
-
-
 # lists, maps and pairs
 
 
@@ -424,16 +393,3 @@ def kv_merge(spark: SparkSession, sf: str) -> DataFrame:
 def list_build(spark: SparkSession, sf: str) -> DataFrame:
     grouped = table(spark, sf, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("x"))
     return grouped.select("o_custkey", F.size("x").alias("n"), F.element_at("x", 1).alias("lo"), F.element_at("x", -1).alias("hi"))
-
-
-# hashes
-
-
-@query()
-def crc32(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").select("p_partkey", hashes.crc32(F.col("p_name")).alias("crc"))
-
-
-@query()
-def fnv1(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").select("p_partkey", hashes.fnv1_64(F.col("p_name")).alias("fnv"))

@@ -7,17 +7,17 @@ added to the local results.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamella.plans.scratch import base_folder
+
 
 def durable(df: DataFrame) -> DataFrame:
     """A checkpoint in the folder of spark.checkpoint.dir: what was drawn to lay the rows out isn't drawn again."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lamella-"))
+        context.setCheckpointDir(base_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -7,15 +7,16 @@ functions here do that themselves.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from lamella.schema.columns import ColumnTree
+from lamella.schema.columns import ColumnTree, join_path, split_path
 from lamella.schema.dsl import Annotation, Node, Schema, render
 
 VIEWS = {
@@ -66,6 +67,15 @@ def _text(x: object) -> str | None:
     return x.hex() if isinstance(x, bytes) else str(x)
 
 
+def field_metadata(fields: Iterable[pa.Field], above: tuple[str, ...] = ()) -> Iterator[tuple[str, dict[bytes, bytes]]]:
+    """Dotted path and pairs of the fields that have some, those of structs, lists and maps included."""
+    for f in fields:
+        path = (*above, f.name)
+        if pairs := {k: v for k, v in (f.metadata or {}).items() if k != b"PARQUET:field_id"}:
+            yield join_path(path), pairs
+        yield from field_metadata([f.type.field(k) for k in range(f.type.num_fields)], path)
+
+
 def _rows(view: str, name: str) -> Iterator[tuple]:
     fs, path = pafs.FileSystem.from_uri(name)
     meta = pq.read_metadata(path, filesystem=fs)
@@ -75,10 +85,9 @@ def _rows(view: str, name: str) -> Iterator[tuple]:
         for k, v in (meta.metadata or {}).items():
             yield name, k.decode("utf-8", "replace"), v.decode("utf-8", "replace")
     elif view == "column_kv":
-        for f in meta.schema.to_arrow_schema():
-            for k, v in (f.metadata or {}).items():
-                if k != b"PARQUET:field_id":
-                    yield name, f.name, k.decode("utf-8", "replace"), v.decode("utf-8", "replace")
+        for path, pairs in field_metadata(meta.schema.to_arrow_schema()):
+            for k, v in pairs.items():
+                yield name, path, k.decode("utf-8", "replace"), v.decode("utf-8", "replace")
     elif view == "columns":
         for r in ColumnTree(schema_of(meta)).rows():
             yield name, *r.values()
@@ -171,10 +180,10 @@ def kv_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 
 def column_metadata(spark: SparkSession, path: str, column: str) -> DataFrame:
-    """file and metadata, the pairs of a column; a file in which it has none has no row. A column that isn't there raises."""
-    if column not in {c.name for c in file_schema(path).root.children}:
+    """file and metadata, the pairs of the column at a dotted path; a file in which it has none has no row. A column that isn't there raises."""
+    if ColumnTree(file_schema(path)).find(column) is None:
         raise ValueError(f"there is no column {column}")
-    pairs = footer(spark, path, "column_kv").filter(F.col("column") == column)
+    pairs = footer(spark, path, "column_kv").filter(F.col("column") == join_path(split_path(column)))
     return pairs.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("metadata"))
 
 

@@ -5,14 +5,22 @@ from __future__ import annotations
 import dataclasses
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lamella.schema.columns import ColumnTree, join_path, split_path
 from lamella.schema.dsl import Schema
 from lamella.schema.sparktypes import read_schema
 from lamella.sources import footer
 
+#: Rows of a row group that a task holds at a time.
+BATCH_ROWS = 1 << 14
+
 
 @dataclasses.dataclass(frozen=True)
 class ScanOptions:
@@ -55,6 +63,9 @@ def _project(df: DataFrame, tree: ColumnTree, columns: Iterable[str], strict: bo
 
 def scan(spark: SparkSession, path: str, options: ScanOptions = ScanOptions()) -> DataFrame:
     """A DataFrame over files. Without columns, all of them."""
+    if options.row_groups is not None or options.skip_row_groups:
+        df = _of_row_groups(spark, path, options, [split_path(c)[0] for c in options.columns] or None)
+        return _project(df, ColumnTree(options.schema or footer.file_schema(path)), options.columns, options.strict) if options.columns else df
     reader = spark.read
     if options.verify_checksums:
         reader = reader.option("parquet.page.verify-checksum.enabled", "true")
@@ -62,32 +73,45 @@ def scan(spark: SparkSession, path: str, options: ScanOptions = ScanOptions()) -
     if schema is not None:
         reader = reader.schema(read_schema(schema))
     df = reader.parquet(path)
-    if options.row_groups is not None or options.skip_row_groups:
-        df = _of_row_groups(df, footer.row_groups(spark, path), options)
     if options.columns:
         tree = ColumnTree(schema or footer.file_schema(path))
         df = _project(df, tree, options.columns, options.strict)
     return df
 
 
-def _of_row_groups(df: DataFrame, groups: DataFrame, options: ScanOptions) -> DataFrame:
-    """Rows by their place in the file. The ranges are few (a row for each group) and come as a small table by file."""
+def _of_row_groups(spark: SparkSession, path: str, options: ScanOptions, names: list[str] | None) -> DataFrame:
+    """The rows of the chosen row groups: a row for each of those, from the footers, is dealt out to tasks, which read their
+    groups and no others, and of these only the columns named, in batches."""
     keep = F.lit(True)
     if options.row_groups is not None:
         keep = F.col("row_group").isin(list(options.row_groups))
     if options.skip_row_groups:
         keep = keep & ~F.col("row_group").isin(list(options.skip_row_groups))
-    ranges = groups.filter(keep).select(F.regexp_replace("file", "^file:/+", "/").alias("__file"), F.struct(F.col("first_row").alias("a"), (F.col("first_row") + F.col("num_rows")).alias("b")).alias("r")).groupBy("__file").agg(F.collect_list("r").alias("__ranges"))
-    names = df.columns
-    placed = df.select("*", F.regexp_replace(F.url_decode("_metadata.file_path"), "^file:/+", "/").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    inside = F.exists("__ranges", lambda r: (F.col("__row") >= r["a"]) & (F.col("__row") < r["b"]))
-    return placed.join(ranges, "__file").filter(inside).select(*[F.col(f"`{n}`") for n in names])
+    reader = spark.read.schema(read_schema(options.schema)) if options.schema is not None else spark.read
+    whole = reader.parquet(path).schema
+    struct = T.StructType([f for f in whole.fields if names is None or f.name in names])
+    kind, checked = to_arrow_schema(struct), options.verify_checksums
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, group in zip(batch["file"].to_pylist(), batch["row_group"].to_pylist()):
+                fs, inside = pafs.FileSystem.from_uri(name)
+                file = pq.ParquetFile(inside, filesystem=fs, page_checksum_verification=checked)
+                there = [n for n in kind.names if n in file.schema_arrow.names]
+                for part in file.iter_batches(BATCH_ROWS, row_groups=[group], columns=there):
+                    table = pa.Table.from_batches([part])
+                    columns = [table[f.name].cast(f.type, safe=False) if f.name in there else pa.nulls(part.num_rows, f.type) for f in kind]
+                    yield from pa.Table.from_arrays(columns, schema=kind).to_batches()
+
+    chosen = footer.row_groups(spark, path).filter(keep).select("file", "row_group")
+    # a fixed number of tasks: rows that name groups are small, and adaptive execution would read all of them in one task
+    spread = chosen.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file", "row_group")
+    return spread.mapInArrow(read, struct)
 
 
 def seek(spark: SparkSession, path: str, row_group: int, columns: tuple[str, ...] = ()) -> DataFrame:
-    """The rows from a row group (from 0) on, in every file."""
-    groups = [r[0] for r in footer.row_groups(spark, path).select("row_group").distinct().collect()]
-    return scan(spark, path, ScanOptions(columns=columns, row_groups=tuple(g for g in groups if g >= row_group)))
+    """The rows from a row group (from 0) on, in every file; the groups before it aren't read."""
+    return scan(spark, path, ScanOptions(columns=columns, skip_row_groups=tuple(range(row_group))))
 
 
 def head(df: DataFrame, n: int = 5, order: Iterable[str] = ()) -> DataFrame:

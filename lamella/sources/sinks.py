@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lamella.schema.columns import split_path
 from lamella.schema.dsl import Schema
 from lamella.schema.sparktypes import to_struct_type
 
@@ -97,12 +98,21 @@ def merge_metadata(everywhere: Mapping[str, str], of_column: Mapping[str, str])
 def write_with_metadata(df: DataFrame, path: str, metadata: Mapping[str, str], options: SinkOptions = SinkOptions(), column_metadata: Mapping[str, Mapping[str, str]] | None = None, everywhere: Mapping[str, str] | None = None) -> DataFrame:
     """Writes files with key/value pairs in their footers, a file for each partition; returns file and num_rows.
 
-    A column's pairs are kept in the field's metadata. Spark's writer has no place for pairs, so pyarrow writes here, batch
+    A column's pairs, by its dotted path, are kept in the field's metadata. Spark's writer has no place for pairs, so pyarrow writes here, batch
     by batch. A task that is repeated leaves a file of another name under _tmp, which isn't moved into place.
     """
     uri = path if "://" in path else f"file://{path}"
     kind = {"none": "none", "lz4_raw": "lz4"}.get(codec(options.codec), codec(options.codec))
-    own = {c: merge_metadata(everywhere or {}, (column_metadata or {}).get(c, {})) for c in df.columns}
+    given = {split_path(c): pairs for c, pairs in (column_metadata or {}).items()}
+
+    def marked_field(f: pa.Field, path: tuple[str, ...]) -> pa.Field:
+        """f with the pairs of the column at path, and so for those within it; pairs for all columns are the leaves'."""
+        if pa.types.is_struct(f.type):
+            f = f.with_type(pa.struct([marked_field(f.type.field(k), (*path, f.type.field(k).name)) for k in range(f.type.num_fields)]))
+        leaf = everywhere or {} if not pa.types.is_nested(f.type) else {}
+        kept = {k.decode(): v.decode() for k, v in (f.metadata or {}).items()}
+        return f.with_metadata({**kept, **merge_metadata(leaf, given.get(path, {}))} or None)
+
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, inside = pafs.FileSystem.from_uri(uri)
@@ -110,10 +120,9 @@ def write_with_metadata(df: DataFrame, path: str, metadata: Mapping[str, str], o
         name, out, n = f"part-{uuid.uuid4().hex}.parquet", None, 0
         for batch in batches:
             if out is None:
-                fields = [f.with_metadata({**{k.decode(): v.decode() for k, v in (f.metadata or {}).items()}, **own[f.name]} or None) for f in batch.schema]
-                marked = pa.schema(fields, metadata=dict(metadata))
+                marked = pa.schema([marked_field(f, (f.name,)) for f in batch.schema], metadata=dict(metadata))
                 out = pq.ParquetWriter(f"{inside}/_tmp/{name}", marked, filesystem=fs, compression=kind, data_page_size=options.page_bytes, data_page_version="2.0" if options.v2_pages else "1.0", write_page_checksum=options.checksums, use_dictionary=[c for c in batch.schema.names if options.dictionary.get(c, True)])
-            out.write_batch(pa.RecordBatch.from_arrays(batch.columns, schema=marked), row_group_size=options.row_group_rows or None)
+            out.write_batch(pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(batch.columns, marked)], schema=marked), row_group_size=options.row_group_rows or None)
             n += batch.num_rows
         if out is not None:
             out.close()

@@ -2,6 +2,7 @@
 
 import json
 from contextlib import nullcontext
+from pathlib import Path
 
 import duckdb
 import pyarrow as pa
@@ -210,3 +211,43 @@ def test_commands(spark, tmp_path):
     with pytest.raises(SystemExit):
         cli.parser().parse_args(["fly"])
     assert bytes_of("100MB") == 100 * 1024 * 1024
+
+
+def test_only_the_chosen_row_groups_are_read(spark, tmp_path):
+    """The bytes of another group may be anything."""
+    path = str(tmp_path / "t")
+    write(spark.range(3000).select("id", F.col("id").cast("string").alias("s")).coalesce(1), path, SinkOptions(row_group_rows=1000, codec="UNCOMPRESSED"))
+    name = footer.list_files(path)[0].removeprefix("file://")
+    at = [r["data_page_offset"] for r in footer.chunks(spark, path).orderBy("row_group", "column").collect()]
+    data = bytearray(Path(name).read_bytes())
+    data[at[2] : at[4] - 8] = bytes(at[4] - 8 - at[2])  # all pages of group 1
+    Path(name).write_bytes(bytes(data))
+    for crc in Path(name).parent.glob(".*.crc"):
+        crc.unlink()
+    for options in (ScanOptions(row_groups=(0, 2)), ScanOptions(skip_row_groups=(1,)), ScanOptions(columns=("id",), skip_row_groups=(1,))):
+        df = scan(spark, path, options)
+        assert sorted(r["id"] for r in df.collect()) == [*range(1000), *range(2000, 3000)]
+        assert "FileScan" not in df._jdf.queryExecution().toString()
+    assert seek(spark, path, 2).count() == 1000 and scan(spark, path, ScanOptions(row_groups=())).count() == 0
+
+
+def test_column_pairs_by_path(spark, tmp_path):
+    df = spark.range(3).select("id", F.struct(F.col("id").alias("bar"), F.array("id").alias("l")).alias("x"))
+    path = str(tmp_path / "t")
+    write_with_metadata(df, path, {}, column_metadata={"x.bar": {"k": "v"}, "x.l": {"m": "n"}}, everywhere={"a": "b"})
+    pairs = {r["metadata"]["k"] for r in footer.column_metadata(spark, path, "x.bar").collect()}
+    assert pairs == {"v"} and footer.column_metadata(spark, path, "x.l").first()["metadata"] == {"m": "n"}
+    assert footer.column_metadata(spark, path, "id").first()["metadata"] == {"a": "b"}
+    with pytest.raises(ValueError, match="no column"):
+        footer.column_metadata(spark, path, "x.foo")
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [0, 1, 2]
+
+
+def test_local_folders_are_for_local_masters(spark, monkeypatch):
+    from lamella.plans import scratch
+
+    class Remote:
+        conf, sparkContext = type("C", (), {"get": lambda *a: None})(), type("S", (), {"master": "spark://there:7077"})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.base_folder(Remote)
