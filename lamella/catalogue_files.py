@@ -8,17 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamella.catalogue import query, table
-from lamella.functions import hashes
-from lamella.operators import bitpack, rows, stats
+from lamella.functions import collections as lists
+from lamella.functions import hashes, temporal
+from lamella.functions.handlers import parse_hints
+from lamella.operators import bitpack, levels, rows, stats
 from lamella.plans.scratch import scratch_folder
-from lamella.schema import ColumnTree, SchemaBuilder, data_column, from_struct_type, parse, render
+from lamella.schema import ColumnTree, SchemaBuilder, data_column, from_struct_type, list_column, map_column, parse, render, to_struct_type
+from lamella.schema.columns import has_prefix, join_path, split_path
 from lamella.schema.dsl import SchemaError
-from lamella.schema.infer import infer
+from lamella.schema.infer import field_name, infer
 from lamella.schema.validate import check_strict
 from lamella.sources import footer
 from lamella.sources.csv import csv_to_parquet, derive_schema
 from lamella.sources.scan import ScanOptions, read_json_array, scan, seek
-from lamella.sources.sinks import SinkOptions, write, write_with_metadata
+from lamella.sources.scan import rows as next_rows
+from lamella.sources.sinks import SinkOptions, codecs, merge_metadata, register_codec, write, write_with_metadata
 from lamella.sources.split import split
 
 #: The folder whose footers the SQL reads: that of the scale at which queries and SQL are compared.
@@ -55,7 +59,7 @@ def row_group_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 _SINKS = {
     "none": (SinkOptions(codec="UNCOMPRESSED"), "UNCOMPRESSED", 1), "snappy": (SinkOptions(), "SNAPPY", 1), "gzip": (SinkOptions(codec="GZIP", page_bytes=4096), "GZIP", 1), "zstd": (SinkOptions(codec="ZSTD", checksums=True), "ZSTD", 1),
-    "groups": (SinkOptions(row_group_rows=1000), "SNAPPY", 1000), "v2": (SinkOptions(v2_pages=True), "SNAPPY", 1), "plain": (SinkOptions(dictionary={"o_orderpriority": False}, field_ids=True), "SNAPPY", 1),
+    "groups": (SinkOptions(row_group_rows=1000), "SNAPPY", 1000), "v2": (SinkOptions(v2_pages=True), "SNAPPY", 1), "plain": (SinkOptions(dictionary={"o_orderpriority": False}, field_ids=True), "SNAPPY", 1), "own": (SinkOptions(codec="OWN"), "ZSTD", 1),
 }
 
 
@@ -66,6 +70,7 @@ _SINKS = {
 def sinks(spark: SparkSession, sf: str) -> DataFrame:
     """orders through every writer option, read back (checksums verified), with the codec and the groups that the footers have."""
     out = None
+    register_codec("own", "zstd")
     for name, (options, *_) in _SINKS.items():
         path = scratch_folder(spark, name)
         write(_ordered(spark, sf, "orders", "o_orderkey"), path, options)
@@ -432,3 +437,134 @@ def column_lookup(spark: SparkSession, sf: str) -> DataFrame:
     other = ColumnTree(from_struct_type(table(spark, sf, "part").schema))
     found = [tree.find(c.flat_name) for c in other.leaves]
     return spark.createDataFrame([(c.flat_name, c.index, c.n_children) for c in found], "path string, index long, children long")
+
+
+# the rest of the functions
+
+
+_DAY = "strftime(ts, '%d')::INTEGER"
+_FORMS = {
+    "iso": ("strftime(ts, '%Y-%m-%dT%H:%M:%SZ')", "yyyy-MM-dd'T'HH:mm:ss'Z'"), "slashes": ("strftime(ts, '%m/%d/%Y %H:%M:%S')", "MM/dd/yyyy HH:mm:ss"), "mail": ("strftime(ts, '%a, %d %b %Y %H:%M:%S') || ' GMT'", "EEE, dd MMM yyyy HH:mm:ss 'GMT'"),
+    "words": ("strftime(ts, '%B %-d, %Y %H:%M:%S')", "MMMM d, yyyy HH:mm:ss"), "packed": ("strftime(ts, '%Y%m%d%H%M%S')", "yyyyMMddHHmmss"), "asctime": ("strftime(ts, '%a %b %-d %H:%M:%S %Y')", "EEE MMM d HH:mm:ss yyyy"),
+}
+
+
+@query(" UNION ALL ".join(f"SELECT event_id, '{k}' AS form, {sql} AS text, date_trunc('second', ts)::TIMESTAMP AS at FROM events" for k, (sql, _) in _FORMS.items()) + " UNION ALL SELECT event_id, 'unix', (epoch_us(ts) // 1000000)::VARCHAR, date_trunc('second', ts)::TIMESTAMP FROM events UNION ALL SELECT event_id, 'none', 'at noon', NULL FROM events")
+def free_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Instants from text in several forms."""
+    ts = F.col("ts").cast("timestamp")
+    forms = [(k, F.date_format(ts, f)) for k, (_, f) in _FORMS.items()] + [("unix", F.unix_seconds(ts).cast("string")), ("none", F.lit("at noon"))]
+    rows_ = F.explode(F.array(*[F.struct(F.lit(k).alias("form"), t.alias("text")) for k, t in forms]))
+    return table(spark, sf, "events").select("event_id", rows_.alias("x")).select("event_id", "x.form", "x.text", temporal.parse_any(F.col("x.text")).cast("timestamp_ntz").alias("at"))
+
+
+_NS = "((epoch_us(ts) % 86400000000) * 1000)"
+
+
+@query(f"SELECT event_id, {_NS} AS made, {_NS} // 1000000 * 1000000 AS of_ms, {_NS} AS of_us, ts::DATE AS day FROM events")
+def times_made(spark: SparkSession, sf: str) -> DataFrame:
+    """Times of day from their parts and from units, and dates from days."""
+    t = temporal.time_of(F.col("ts"))
+    parts = [temporal.time_part(t, p) for p in ("hour", "minute", "second", "nanosecond")]
+    of = lambda u: temporal.time_from(temporal.time_to(t, u), u)
+    return table(spark, sf, "events").select("event_id", temporal.make_time(*parts).alias("made"), of("MILLIS").alias("of_ms"), of("MICROS").alias("of_us"), temporal.days_to_date(temporal.date_to_days(F.col("ts"))).alias("day"))
+
+
+@query("SELECT c_custkey, h AS text, upper(replace(h, '-', '')) AS bytes FROM (SELECT c_custkey, m[1:8] || '-' || m[9:12] || '-' || m[13:16] || '-' || m[17:20] || '-' || m[21:32] AS h FROM (SELECT c_custkey, md5(c_name) AS m FROM customer))")
+def uuids(spark: SparkSession, sf: str) -> DataFrame:
+    text = lists.uuid_text(F.unhex(F.md5(F.col("c_name").cast("binary"))))
+    return table(spark, sf, "customer").select("c_custkey", text.alias("text"), F.hex(lists.uuid_bytes(text)).alias("bytes"))
+
+
+@query("SELECT c_custkey, len(x)::INTEGER AS n, x[1] AS first, x[-1] AS last, CASE WHEN c_nationkey % 2 = 0 THEN 'own' ELSE c_name END AS a, len(x[1:2])::INTEGER AS two FROM (SELECT *, CASE WHEN c_nationkey % 3 = 0 THEN [c_mktsegment, c_name] ELSE ['x', c_mktsegment, c_name] END AS x FROM customer)")
+def lists_and_maps(spark: SparkSession, sf: str) -> DataFrame:
+    """Elements appended to lists, absent ones among them, and entries put into maps."""
+    items = lists.append(F.when(F.col("c_nationkey") % 3 > 0, F.array(F.lit("x"))), F.col("c_mktsegment"), F.col("c_name"))
+    m = F.create_map(F.lit("a"), F.col("c_name"))
+    m = F.when(F.col("c_nationkey") % 2 == 0, lists.put(m, F.lit("a"), F.lit("own"))).otherwise(m)
+    return table(spark, sf, "customer").select("c_custkey", F.size(items).alias("n"), F.element_at(items, 1).alias("first"), F.element_at(items, -1).alias("last"), F.element_at(m, "a").alias("a"), F.size(lists.fixed(items, 2)).alias("two"))
+
+
+_LEVELS = "SELECT vec_id AS key, pos::INTEGER AS seq, 3::INTEGER AS d, CASE WHEN pos = 0 THEN 0 ELSE 1 END::INTEGER AS r FROM (SELECT vec_id, unnest(range(0, len(embedding))) AS pos FROM embeddings)"
+
+
+@query(f"{_LEVELS} UNION ALL SELECT -1 - key, seq, d, r FROM ({_LEVELS})")
+def level_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    """Levels of a list's elements as bytes and back, with their length before them and (keys below zero) without."""
+    import pandas as pd
+
+    df = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    shredded = levels.shred(df, ColumnTree(from_struct_type(df.schema)), "embedding.list.element", "vec_id").select("key", "seq", "d", "r")
+
+    def there_and_back(batch: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for sized in (True, False):
+            x = batch.copy()
+            for c, top in (("d", 3), ("r", 1)):
+                x[c] = bitpack.levels_decode(bitpack.levels_encode(batch[c].to_numpy(), top, sized), top, len(batch), sized).astype("int32")
+            x["key"] = x["key"] if sized else -1 - x["key"]
+            out.append(x)
+        return pd.concat(out)
+
+    return shredded.mapInPandas(lambda batches: map(there_and_back, batches), "key long, seq int, d int, r int")
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def one_by_one(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that the driver takes one after another, under a job tag and a declared schema."""
+    spark.addTag("one-by-one")
+    try:
+        schema = parse("message nation { optional int64 n_nationkey; optional binary n_name (STRING); }")
+        found = [(r["n_nationkey"], r["n_name"]) for r in next_rows(scan(spark, f"{sf}/nation.parquet", ScanOptions(columns=("n_nationkey", "n_name"))))]  # 25
+        return spark.createDataFrame(found, to_struct_type(schema))
+    finally:
+        spark.removeTag("one-by-one")
+
+
+@query("SELECT o_orderkey, o_totalprice, NULL::VARCHAR AS o_new FROM orders")
+def declared_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """A scan under a schema's text, without inference; a column that the file lacks is null."""
+    return scan(spark, f"{sf}/orders.parquet", ScanOptions(schema=parse("message orders { optional int64 o_orderkey; optional double o_totalprice; optional binary o_new (STRING); }")))
+
+
+_NAMED = [
+    ("split", "a.`b.c`.d", "a|b.c|d"), ("join", "a|b.c|d", "a.`b.c`.d"), ("prefix", "x.bar in x", "True"), ("prefix", "xy in x", "False"), ("hints", "a=int32, b = boolean", "a:int32|b:boolean"), ("hints", "a=wide", "error"), ("codecs", "", "GZIP|LZ4|LZ4_RAW|SNAPPY|UNCOMPRESSED|ZSTD"),
+    ("field", "Amount", "amount"), ("field", "Id", "ident"), ("sub", "g", "message g {\n  optional int64 x;\n}\n"), ("sub", "none", "None"), ("list", "l", "message m {\n  optional group l (LIST) {\n    repeated group list {\n      optional int32 element;\n    }\n  }\n}\n"),
+    ("map", "t", "message m {\n  optional group t (MAP) {\n    repeated group key_value {\n      required binary key (STRING);\n      optional double value;\n    }\n  }\n}\n"), ("select", "x", "x.a|x.b"), ("select", "x.a y", "x.a|y"), ("kv", "a=1 b=2", "a=1|b=3"),
+]
+
+
+@query("SELECT what, given, got FROM (VALUES " + ", ".join(f"({_sql_text(w)}, {_sql_text(g)}, {_sql_text(x)})" for w, g, x in _NAMED) + ") u(what, given, got)")
+def names_and_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Paths, hints, codecs, names of fields, parts of schemas, and lists and maps made step by step."""
+    made = dataclasses.make_dataclass("Made", [("Amount", int), ("Id", int, dataclasses.field(metadata={"parquet": "ident,x"}))])
+    schema = parse("message m { optional group g { optional int64 x; } }")
+    tree = ColumnTree(parse("message m { optional group x { optional int64 a; optional int64 b; } optional int64 y; }"))
+
+    def got(what: str, given: str) -> object:
+        if what == "split":
+            return "|".join(split_path(given))
+        if what == "join":
+            return join_path(given.split("|"))
+        if what == "prefix":
+            return has_prefix(*(tuple(x.split(".")) for x in given.split(" in ")))
+        if what == "hints":
+            try:
+                return "|".join(f"{k}:{v}" for k, v in parse_hints(given).items())
+            except ValueError:
+                return "error"
+        if what == "field":
+            return next(field_name(f) for f in dataclasses.fields(made) if f.name == given)
+        if what == "sub":
+            part = schema.clone().sub(given)
+            return part and render(part)
+        if what in ("list", "map"):
+            node = list_column(data_column("int32", "optional")) if what == "list" else map_column(data_column("binary", "required", "STRING"), data_column("double", "optional"))
+            return render(SchemaBuilder("m").column((given,), node).build())
+        if what == "select":
+            return "|".join(c.flat_name for c in tree.selected(given.split()))
+        if what == "kv":
+            return "|".join(f"{k}={v}" for k, v in merge_metadata(dict(x.split("=") for x in given.split()), {"b": "3"}).items())
+        return "|".join(c for c in codecs() if c != "OWN")
+
+    return spark.createDataFrame([(w, g, str(got(w, g))) for w, g, _ in _NAMED], "what string, given string, got string")

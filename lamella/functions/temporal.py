@@ -89,12 +89,18 @@ def guess_unix(n: Column) -> Column:
     return F.timestamp_micros(us)
 
 
-FORMATS = ("yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "dd.MM.yyyy", "yyyyMMdd", "MMM d, yyyy", "d MMM yyyy", "EEE, d MMM yyyy HH:mm:ss zzz")
+#: Forms of text that parse_any reads, beside ISO 8601; a weekday before them is passed over.
+FORMATS = (
+    "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd", "M/d/yyyy HH:mm:ss", "M/d/yyyy", "dd.MM.yyyy HH:mm:ss", "dd.MM.yyyy", "yyyyMMddHHmmss", "yyyyMMdd",
+    "MMM d, yyyy HH:mm:ss", "MMM d, yyyy", "MMMM d, yyyy HH:mm:ss", "MMMM d, yyyy", "d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss", "d MMM yyyy", "d MMMM yyyy HH:mm:ss", "d MMMM yyyy", "MMM d HH:mm:ss yyyy",
+)
 
 
 def parse_any(s: Column, formats: tuple[str, ...] = FORMATS) -> Column:
-    """A timestamp from text in one of the formats; null if none fits."""
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats if not f.startswith("EEE")], F.try_to_timestamp(s))
+    """A timestamp from text in one of the formats, or from the digits of a Unix time (10, 13, 16 or 19 of them); null if none fits."""
+    text = F.regexp_replace(F.regexp_replace(F.trim(s), r"^(?i)(mon|tues?|wed(nes)?|thu(rs)?|fri|sat(ur)?|sun)(day)?,?\s+", ""), r"\s+", " ")
+    unix = F.when(text.rlike(r"^\d{10}$|^\d{13}$|^\d{16}$|^\d{19}$"), guess_unix(text.try_cast("long")))
+    return F.coalesce(unix, *[F.try_to_timestamp(text, F.lit(f)) for f in formats], F.try_to_timestamp(text))
 
 
 # times of day
