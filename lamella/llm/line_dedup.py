@@ -6,7 +6,7 @@ line that very many documents hold is thereby spread over as many partitions as
 partition and drops every record whose id isn't the first of its hash. What can't be known inside a partition is
 whether its first hash began in an earlier one: each partition therefore states its first and its last hash with
 the first id of each, and those two records a partition are stitched together. The result is a compressed bitmap
-of kept lines for each document that loses some; texts move only where the bitmaps are applied.
+of kept lines for each document that loses some; texts, whole and of any length, move only where the bitmaps are applied.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.common import parallelism, record_batch, slices, stored, utf8, view
+from lamella.llm.common import discard, parallelism, record_batch, slices, stored, utf8, view
 
 MIN_CHARS = 10
 #: A null id comes after every other one.
@@ -96,9 +96,10 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document that loses lines: id, fp (xxhash64 of its text), n_lines, n_dropped, keep (zlib of the
     packed bits of its lines, first line first). A null id stands as 2^63-1."""
     rows = view(docs, id=id_col, text=text_col).select(F.coalesce(F.col("id").cast("long"), F.lit(LAST)).alias("id"), F.xxhash64("text").alias("fp"), "text")
-    lines = rows.mapInArrow(_lines, _LINES_DDL)
+    lines = stored(rows.mapInArrow(_lines, _LINES_DDL), "lines")  # the ranges' bounds are drawn from it as well
     ranged = lines.repartitionByRange(partitions or parallelism(docs), "h1", "h2", "id").sortWithinPartitions("h1", "h2", "id", "pos")
     found = stored(ranged.mapInArrow(_stream, _LINES_DDL + ", edge byte"), "dropped")
+    discard(lines)
     # at most two ids of two hashes a partition are at its edges
     edges = found.filter("edge > 0").groupBy("h1", "h2").agg(F.min("id").alias("first"))
     late = found.filter("edge = 1").join(edges, ["h1", "h2"]).filter("id > first").drop("first")
