@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamella.operators.stats import plain_size
-from lamella.plans.numbering import numbered
+from lamella.plans.numbering import durable, numbered
 
 #: A chunk of more distinct values is written without a dictionary.
 MAX_ENTRIES = 32767
@@ -25,10 +25,14 @@ def dictionary(df: DataFrame, value: str, order: list[str]) -> DataFrame:
 
 
 def dictionary_encode(df: DataFrame, value: str, order: list[str]) -> DataFrame:
-    """position and index of each row in the order; a null has no index."""
+    """position and index of each row in the order; a null has no index. A dictionary of at most MAX_ENTRIES is sent to the
+    rows; for a larger one they are joined with it."""
     placed = numbered(df.select(*order, F.col(value).alias("value")), order)
     entries = placed.filter("value IS NOT NULL").groupBy("value").agg(F.min("position").alias("first_position"))
-    return placed.join(numbered(entries, ["first_position"], "index"), "value", "left").select("position", "index")
+    indexed = durable(numbered(entries, ["first_position"], "index").select("value", "index"))
+    if indexed.count() <= MAX_ENTRIES:
+        indexed = F.broadcast(indexed)
+    return placed.join(indexed, "value", "left").select("position", "index")
 
 
 def dictionary_decode(encoded: DataFrame, entries: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ functions here do that themselves.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterable, Iterator
 
@@ -24,6 +25,7 @@ VIEWS = {
     "row_groups": "file string, row_group int, first_row long, num_rows long, total_byte_size long, total_compressed_size long",
     "chunks": "file string, row_group int, column int, path string, physical string, codec string, encodings array<string>, num_values long, null_count long, distinct_count long, min string, max string, "
     "compressed_size long, uncompressed_size long, data_page_offset long, dictionary_page_offset long",
+    "counts": "table string, num_rows long",
     "kv": "file string, key string, value string",
     "column_kv": "file string, column string, key string, value string",
     "columns": "file string, index int, path string, repetition string, physical string, length int, annotation string, field_id int, max_definition int, max_repetition int",
@@ -76,9 +78,14 @@ def field_metadata(fields: Iterable[pa.Field], above: tuple[str, ...] = ()) -> I
         yield from field_metadata([f.type.field(k) for k in range(f.type.num_fields)], path)
 
 
+def meta_of(name: str) -> pq.FileMetaData:
+    fs, path = pafs.FileSystem.from_uri(name)
+    return pq.read_metadata(path, filesystem=fs)
+
+
 def _rows(view: str, name: str) -> Iterator[tuple]:
     fs, path = pafs.FileSystem.from_uri(name)
-    meta = pq.read_metadata(path, filesystem=fs)
+    meta = meta_of(name)
     if view == "files":
         yield name, fs.get_file_info(path).size, meta.format_version, meta.created_by, meta.num_rows, meta.num_row_groups, meta.num_columns, meta.serialized_size, render(schema_of(meta))
     elif view == "kv":
@@ -107,22 +114,24 @@ def _rows(view: str, name: str) -> Iterator[tuple]:
             )
 
 
-class _File(InputPartition):
-    def __init__(self, names: list[str]) -> None:
+class _Files(InputPartition):
+    """Files, each with the name of the table that it is of, if tables were named."""
+
+    def __init__(self, names: list[tuple[str | None, str]]) -> None:
         self.names = names
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, view: str, files: list[str]) -> None:
+    def __init__(self, view: str, files: list[tuple[str | None, str]]) -> None:
         self.view, self.files = view, files
 
     def partitions(self) -> list[InputPartition]:
         n = max(1, len(self.files) // 4096)  # some thousands of tasks at most
-        return [_File(self.files[k : k + n]) for k in range(0, len(self.files), n)]
+        return [_Files(self.files[k : k + n]) for k in range(0, len(self.files), n)]
 
-    def read(self, partition: _File) -> Iterator[tuple]:
-        for name in partition.names:
-            yield from _rows(self.view, name)
+    def read(self, partition: _Files) -> Iterator[tuple]:
+        for table, name in partition.names:
+            yield from ([(table, meta_of(name).num_rows)] if self.view == "counts" else _rows(self.view, name))
 
 
 class FooterSource(DataSource):
@@ -139,7 +148,8 @@ class FooterSource(DataSource):
         return VIEWS[view]
 
     def reader(self, schema) -> DataSourceReader:  # noqa: ANN001 - called by keyword
-        return _Reader(self.options.get("view", "files"), list_files(self.options["path"]))
+        tables = json.loads(self.options["tables"]) if "tables" in self.options else {None: self.options["path"]}
+        return _Reader(self.options.get("view", "files"), [(table, file) for table, path in tables.items() for file in list_files(path)])
 
 
 def list_files(path: str) -> list[str]:
@@ -192,6 +202,14 @@ def row_count(spark: SparkSession, path: str) -> int:
     return int(footer(spark, path).agg(F.coalesce(F.sum("num_rows"), F.lit(0))).first()[0])
 
 
+def row_counts(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """table and num_rows for some tables, from their footers alone."""
+    register(spark)
+    found = spark.read.format("parquet_footer").option("view", "counts").option("tables", json.dumps(paths)).load()
+    names = spark.range(1).select(F.explode(F.array(*map(F.lit, paths))).alias("table"), F.lit(0).cast("long").alias("num_rows"))  # tables without files are counted too
+    return found.unionByName(names).groupBy("table").agg(F.sum("num_rows").alias("num_rows"))
+
+
 def file_schema(path: str) -> Schema:
     """The schema of one file (of the first, in a folder)."""
     fs, inside = pafs.FileSystem.from_uri(list_files(path)[0])
