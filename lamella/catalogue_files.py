@@ -109,6 +109,17 @@ def nested_scan(spark: SparkSession, sf: str) -> DataFrame:
     return scan(spark, path, ScanOptions(columns=("p_partkey", "x.c"))).filter("x.c > 10").select("p_partkey", "x.c")
 
 
+@query("SELECT conv_id, turn AS t, role AS r FROM conversations")
+def list_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Paths inside a list and a map: the elements' other fields aren't read."""
+    path = scratch_folder(spark, "turns")
+    turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role", "text")).alias("turns"))
+    write(turns.withColumn("by", F.map_from_entries(F.transform("turns", lambda x: F.struct(x["turn"], F.struct(x["role"], x["text"]))))), path)
+    back = scan(spark, path, ScanOptions(columns=("conv_id", "turns.list.element.turn", "by.key_value.value.role")))
+    each = back.select("conv_id", F.explode("turns.turn").alias("t"), "by")
+    return each.select("conv_id", "t", F.col("by")[F.col("t")]["role"].alias("r"))
+
+
 _HINTS = "c_custkey=int64,c_nationkey=int32,c_acctbal=double"
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lamella.schema.columns import ColumnTree, join_path, split_path
-from lamella.schema.dsl import Schema
+from lamella.schema.dsl import Node, Schema
 from lamella.schema.sparktypes import read_schema
 from lamella.sources import footer
 
@@ -36,8 +36,39 @@ class ScanOptions:
     nanos_as_long: bool = False
 
 
+def pruned(schema: Schema, columns: Iterable[str]) -> Schema:
+    """The schema with the leaves that are, or lie under, one of the paths; a map keeps its key."""
+    tree = ColumnTree(schema)
+    kept = {c.path for c in tree.selected([split_path(c) for c in columns])}
+
+    def cut(node: Node, path: tuple[str, ...]) -> Node | None:
+        if not node.is_group:
+            return node if path in kept else None
+        children = [c for c in (cut(c, (*path, c.name)) for c in node.children) if c is not None]
+        if not children:
+            return None
+        if node.repetition == "repeated" and node.child("key") is not None and not any(c.name == "key" for c in children) and node.name in ("key_value", "map"):
+            children.insert(0, node.child("key"))
+        return dataclasses.replace(node, children=children)
+
+    found = [c for c in (cut(c, (c.name,)) for c in schema.root.children) if c is not None]
+    return Schema(dataclasses.replace(schema.root, children=found))
+
+
+def _inside_repeated(schema: Schema, path: tuple[str, ...]) -> bool:
+    """Whether a path ends below the top of a list, a map or another repeated group."""
+    node = schema.root
+    for name in path[:-1]:
+        node = node.child(name)
+        if node is None:
+            return False
+        if node.repetition == "repeated" or node.annotated("LIST", "MAP", "MAP_KEY_VALUE"):
+            return True
+    return False
+
+
 def _project(df: DataFrame, tree: ColumnTree, columns: Iterable[str], strict: bool) -> DataFrame:
-    """The chosen paths; struct fields that aren't chosen are pruned from the scan, lists and maps come whole."""
+    """The chosen paths; struct fields that aren't chosen are pruned from the scan."""
     wanted: dict[str, set[tuple[str, ...]]] = {}
     for text in columns:
         path = split_path(text)
@@ -75,6 +106,10 @@ def scan(spark: SparkSession, path: str, options: ScanOptions = ScanOptions()) -
     df = reader.parquet(path)
     if options.columns:
         tree = ColumnTree(schema or footer.file_schema(path))
+        if any(_inside_repeated(tree.schema, split_path(c)) for c in options.columns):  # fields of lists' and maps' elements are left out by the schema
+            if options.strict and (lost := [c for c in options.columns if not tree.selected([split_path(c)])]):
+                raise ValueError(f"there is no column {lost[0]}")
+            return reader.schema(read_schema(pruned(tree.schema, options.columns))).parquet(path)
         df = _project(df, tree, options.columns, options.strict)
     return df
 

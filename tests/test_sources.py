@@ -251,3 +251,15 @@ def test_local_folders_are_for_local_masters(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch.base_folder(Remote)
+
+
+def test_paths_inside_lists_and_maps(spark, tmp_path):
+    path = str(tmp_path / "t")
+    entry = F.struct(F.col("id").alias("a"), F.col("id").cast("string").alias("b"))
+    write(spark.range(3).select("id", F.array(entry).alias("l"), F.create_map(F.col("id"), entry).alias("m")), path)
+    df = scan(spark, path, ScanOptions(columns=("l.list.element.b", "m.key_value.value.a", "none")))
+    assert df.schema.simpleString() == "struct<l:array<struct<b:string>>,m:map<bigint,struct<a:bigint>>>"
+    assert sorted((r["l"][0]["b"], *r["m"].items()) for r in df.collect()) == [(str(k), (k, (k,))) for k in range(3)]
+    assert "ReadSchema: struct<l:array<struct<b:string>>,m:map<bigint,struct<a:bigint>>>" in df._jdf.queryExecution().toString()
+    with pytest.raises(ValueError, match="no column"):
+        scan(spark, path, ScanOptions(columns=("l.list.element.b", "none"), strict=True))
