@@ -3,7 +3,7 @@
 The documents of each source, in the table's order, form blocks of equally many. A source of weight w may place its
 block k (from 0) from slot floor(k/w) on, its release time, and must have placed it before slot ceil((k+1)/w), its
 deadline. Filling each slot with the released block of the earliest deadline keeps, at every slot, each source
-within one block of its weight. Weights are fractions without rounding. When a source has no blocks left, a new phase
+within one block of its weight. Blocks are of rows, whose texts of any length aren't looked at. Weights are fractions without rounding. When a source has no blocks left, a new phase
 begins in which the others share its weight in proportion; so all rows are kept, once, and every phase has the property
 above.
 

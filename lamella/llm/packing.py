@@ -4,7 +4,8 @@ First pass: every split of the input is tokenised, once, into a scratch table in
 offset within its split; the splits' token totals are summed. Their prefix sums, one number a split, are the second
 pass's start: a document's global offset is its split's plus its own, so that fixed windows of the one long
 sequence of tokens can be cut where the documents lie, without a shuffle of tokens. A window that crosses from one
-split to the next is delivered in parts, its boundary records, which alone are brought together.
+split to the next is delivered in parts, its boundary records, which alone are brought together. Texts of any length
+are tokenised whole, and cut into as many windows as they need.
 
 The order is that of the files and of the rows in them (so an input written in a certain order is packed in it);
 an input that isn't a plain scan is written to files first, in the order of its partitions.

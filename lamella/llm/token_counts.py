@@ -4,7 +4,7 @@ A token file is nothing but 16-bit ids, each document's followed by the end-of-d
 documents lie. Fixed blocks of all files are searched in parallel for the end id, vectorised. A block states how
 many ends it holds and where; a prefix scan over the blocks (within groups of blocks, then over the groups) gives
 each block the number of ends before it and the place of the last one, so that a document that spans blocks is
-counted whole and every document has its ordinal in the file.
+counted whole and every document has its ordinal in the file. Texts of any length are tokenised whole.
 """
 
 from __future__ import annotations
