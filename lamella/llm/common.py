@@ -22,6 +22,7 @@ from pyspark.sql.types import StructType
 _made: dict[str, set[str]] = {}
 _tables: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 _scope = threading.local()
+_writing, _writers = threading.Lock(), {}
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -89,12 +90,19 @@ def stored(df: DataFrame, name: str = "table", codec: str = "zstd") -> DataFrame
     to collect its garbage."""
     spark = df.sparkSession
     folder = scratch_dir(spark)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    with _writing:
+        if not _writers:
+            _writers["before"] = spark.conf.get(CLEANUP, "false")
+            spark.conf.set(CLEANUP, "true")
+        _writers["n"] = _writers.get("n", 0) + 1
     try:
         df.write.option("compression", codec).parquet(f"{folder}/{name}")
     finally:
-        spark.conf.set(CLEANUP, before)
+        with _writing:
+            _writers["n"] -= 1
+            if not _writers["n"]:  # the last of several threads
+                spark.conf.set(CLEANUP, _writers["before"])
+                _writers.clear()
     table = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
     _tables[table] = folder
     return table
@@ -115,12 +123,20 @@ def is_scan(df: DataFrame) -> bool:
     return bool(relation) and relation.getClass().getSimpleName() == "HadoopFsRelation"
 
 
+def pin_splits(spark: SparkSession) -> None:
+    """Later scans of the session cut files as one would now. Spark looks the number of cores up each time, and when an
+    executor was lost between two scans of small files, their splits would differ."""
+    if not spark.conf.get("spark.sql.files.minPartitionNum", None):
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+
+
 def located(df: DataFrame, columns: list[Column], split: str, at: str) -> DataFrame:
     """The columns (of df), the file of each row and where its split begins in it. What isn't a scan of files is written
     to a scratch table first: partitions have no number that is the same in two jobs."""
     if not is_scan(df):
         df = stored(df.select(*columns), "rows")
         columns = [F.col(f"`{c}`") for c in df.columns]
+    pin_splits(df.sparkSession)
     place = df.metadataColumn("_metadata")
     return df.select(*columns, place["file_path"].alias(split), place["file_block_start"].alias(at))
 

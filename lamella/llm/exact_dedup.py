@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.common import is_scan, record_batch, slices, stored, utf8, view
+from lamella.llm.common import is_scan, pin_splits, record_batch, slices, stored, utf8, view
 
 SALTS = 16
 #: Groups of more rows than HOT are sent to every task, at most so many, the largest: no other group has more than HOT
@@ -67,6 +67,7 @@ def _local(members: bool, contents: bool, of: Callable[[bytes], tuple[bytes, int
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, text and row, a number that is the same each time a scan of files is read; other inputs are written first."""
+    pin_splits(docs.sparkSession)
     rows = view(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), "text")
     return (rows if is_scan(docs) else stored(rows, "rows")).withColumn("row", F.monotonically_increasing_id())
 

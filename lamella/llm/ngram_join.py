@@ -475,6 +475,8 @@ def region_links(classes: DataFrame, regions: DataFrame, limit: int = REGION_SHI
 def _found(docs: DataFrame, id_col: str, text_col: str, limit: int, hot: int) -> tuple[DataFrame, DataFrame]:
     """The screened rows, and a row for each that isn't alone: k_id, k_fp, component (a number), n_similar, least."""
     rows = view(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("fp"))
+    if not is_scan(docs):  # chunks of a task that is repeated must have the same rows
+        rows = stored(rows, "rows")
     screened = stored(screen(rows), "screened")
     alive = screened.filter("alive").select(F.col("doc_id").alias("k_id"), F.col("fp").alias("k_fp")).distinct()
     key = rows["doc_id"].eqNullSafe(F.col("k_id")) & (rows["fp"] == F.col("k_fp"))
