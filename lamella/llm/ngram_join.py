@@ -378,8 +378,8 @@ def _join_parts(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([record_batch(_LINKS, out)])
 
 
-_CELLS = pa.schema([("part", pa.string()), ("number", pa.int64()), ("weight", pa.int64()), ("shingles", pa.binary()), ("home", pa.bool_()), ("before", pa.int64())])
-_CELLS_DDL = "part string, number long, weight long, shingles binary, home boolean, before long"
+_CELLS = pa.schema([("of", pa.string()), ("member", pa.int64()), ("cell", pa.int64()), ("at_home", pa.bool_())])
+_CELLS_DDL = "of string, member long, cell long, at_home boolean"
 
 
 def cells_of(s: np.ndarray, home: bool, n: np.ndarray, keys: np.ndarray, masks: np.ndarray) -> list[tuple[int, bool]]:
@@ -396,7 +396,7 @@ def cells_of(s: np.ndarray, home: bool, n: np.ndarray, keys: np.ndarray, masks:
 
 
 def _divide(sets: pa.Table, seeds: pa.Table) -> pa.Table:
-    """The cells of some sets of a part, by the part's pivots."""
+    """The cells of some sets of a part, by the part's pivots: numbers alone, since a set may be copied into MAX_PIVOTS cells."""
     out: list[tuple] = []
     if sets.num_rows and seeds.num_rows:
         found = sorted(seeds["pivots"][0].as_py() or [], key=lambda x: x["number"])[:MAX_PIVOTS]
@@ -406,10 +406,10 @@ def _divide(sets: pa.Table, seeds: pa.Table) -> pa.Table:
         for j, x in enumerate(pivots):
             masks[place[at : at + len(x)]] |= np.uint64(1 << j)
             at += len(x)
-        n, inside = np.array([len(x) for x in pivots]), seeds["total"][0].as_py()
-        for part, number, weight, raw, home in zip(*(sets[c].to_pylist() for c in ("part", "number", "weight", "shingles", "home"))):
-            cells = cells_of(np.frombuffer(raw, np.uint64), home, n, keys, masks) if pivots else [(0, home)]
-            out += [(f"{part}/{j}", number, weight, raw, at_home, inside) for j, at_home in cells]
+        n, shingles = np.array([len(x) for x in pivots]), sets["shingles"]
+        for k, (part, number, home) in enumerate(zip(*(sets[c].to_pylist() for c in ("part", "number", "home")))):
+            cells = cells_of(np.frombuffer(shingles[k].as_py(), np.uint64), home, n, keys, masks) if pivots else [(0, home)]
+            out += [(part, number, j, at_home) for j, at_home in cells]
     return pa.Table.from_batches([record_batch(_CELLS, dict(zip(_CELLS.names, map(list, zip(*out)))) if out else {c: [] for c in _CELLS.names})])
 
 
@@ -419,9 +419,12 @@ def divided(parts: DataFrame, limit: int, level: int) -> DataFrame:
     chosen = F.col("home") & (F.pmod(F.xxhash64("number", F.lit(level)), F.lit(1 << 40)) < F.lit(float(CELL_PIVOTS * (1 << 40))) / F.col("homes"))
     pivots = parts.filter(chosen).groupBy("part").agg(F.collect_list(F.struct("number", "shingles")).alias("pivots"))
     salts = F.ceil(F.col("inside") / limit).cast("int")
-    tasks = parts.select("part", "inside").distinct().join(pivots, "part", "left").select(F.col("part").alias("of"), F.col("inside").alias("total"), "pivots", F.explode(F.sequence(F.lit(0), salts)).alias("task"))
-    sets = parts.select("part", "number", "weight", "shingles", "home", F.pmod(F.xxhash64("number"), salts + 1).cast("int").alias("salt"))
-    return sets.groupBy("part", "salt").cogroup(tasks.groupBy("of", "task")).applyInArrow(_divide, _CELLS_DDL)
+    tasks = parts.select("part", "inside").distinct().join(pivots, "part", "left").select(F.col("part").alias("of"), "pivots", F.explode(F.sequence(F.lit(0), salts)).alias("task"))
+    sets = parts.select("part", "number", "shingles", "home", F.pmod(F.xxhash64("number"), salts + 1).cast("int").alias("salt"))
+    cells = sets.groupBy("part", "salt").cogroup(tasks.groupBy("of", "task")).applyInArrow(_divide, _CELLS_DDL)
+    # the copies are made row by row in this join, not in a task's memory
+    copies = cells.join(parts, (cells["of"] == parts["part"]) & (cells["member"] == parts["number"]))
+    return copies.select(F.concat_ws("/", "of", "cell").alias("part"), "number", "weight", "shingles", F.col("at_home").alias("home"), F.col("inside").alias("before"))
 
 
 def block_links(parts: DataFrame, limit: int) -> DataFrame:

@@ -10,6 +10,7 @@ from decimal import Decimal
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -243,6 +244,17 @@ def test_regions_of_several_levels(spark, monkeypatch):
         assert len(levels) >= 2
 
 
+def test_division_holds_no_copies():
+    """Sets that are rather far from their nearest pivot go into many cells; the task that finds this out makes no copies of them."""
+    g = np.random.default_rng(5)
+    families = [g.integers(0, 1 << 62, 600) for _ in range(20)]
+    sets = [np.unique(np.concatenate([families[k % 20], g.integers(0, 1 << 62, 1400)])).astype(np.uint64) for k in range(100)]
+    table = pa.table({"part": ["p"] * 100, "number": range(100), "weight": [1] * 100, "shingles": [s.tobytes() for s in sets], "home": [True] * 100})
+    seeds = pa.table({"pivots": [[{"number": k, "shingles": sets[k].tobytes()} for k in range(20)]], "total": [sum(map(len, sets))]})
+    cells = ngram_join._divide(table, seeds)
+    assert cells.num_rows > 300 and cells.nbytes < table.nbytes / 10
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_region(seed, monkeypatch):
     monkeypatch.setattr(regions, "SMALL", 8)
