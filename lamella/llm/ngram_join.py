@@ -47,6 +47,8 @@ RANGE_BYTES = 4 << 20
 MIN_RANGE_BITS, MAX_RANGE_BITS = 4, 15
 #: What one task compares at a time: 32 MB of shingles.
 REGION_SHINGLES = 4 << 20
+#: Bins of small parts for each such amount.
+BINS = 8
 #: About so many pivots divide a region beyond that, at most MAX_PIVOTS, again and again, at most LEVELS times.
 CELL_PIVOTS, MAX_PIVOTS, LEVELS = 32, 64, 8
 #: A cell that has more than this of what was divided isn't divided again.
@@ -438,8 +440,9 @@ def block_links(parts: DataFrame, limit: int) -> DataFrame:
 
 
 def part_links(parts: DataFrame, total: int, limit: int) -> DataFrame:
-    """The links of parts of at most limit shingles, about as many parts at a time as have that together."""
-    bins = max(parallelism(parts), -(-total // limit))
+    """The links of parts of at most limit shingles, about as many parts at a time as have a BINS-th of that together: chance
+    puts several times the mean into some bins, beside a part that may be as large as the limit."""
+    bins = max(parallelism(parts), -(-BINS * total // limit))
     binned = parts.select(F.pmod(F.xxhash64("part"), F.lit(bins)).alias("bin"), "part", "number", "weight", "shingles", "home", F.lit(None).cast("int").alias("side"))
     return binned.groupBy("bin").applyInArrow(_join_parts, _LINKS_DDL)
 

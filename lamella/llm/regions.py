@@ -39,7 +39,8 @@ class Region:
         ids = np.empty(len(flat), np.int32)
         ids[order] = np.cumsum(new) - 1
         shared = np.bincount(ids)[ids] > 1 if len(ids) else np.zeros(0, bool)  # others never count
-        of = np.repeat(np.arange(len(sets)), self.sizes)[shared]
+        del flat, order, ordered
+        of = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)[shared]
         self.ids, ends = ids[shared], np.cumsum(np.bincount(of, minlength=len(sets)))
         self.starts, self.ends = np.r_[0, ends[:-1]], ends
         self.mark = np.zeros(int(new.sum()) + 1, bool)

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import os
 import random
+import re
 import time
 import zlib
 from decimal import Decimal
@@ -255,6 +256,16 @@ def test_division_holds_no_copies():
     assert cells.num_rows > 300 and cells.nbytes < table.nbytes / 10
 
 
+def test_bins_of_parts_are_small(spark):
+    """Parts of a tenth of the limit, which chance would put together, make up bins that are no larger than it."""
+    sets = [(str(k), k, 1, bytes(800), True, 100) for k in range(400)]
+    parts = spark.createDataFrame(sets, "part string, number long, weight long, shingles binary, home boolean, inside long")
+    plan = ngram_join.part_links(parts, 40_000, 1000)._jdf.queryExecution().analyzed().toString()
+    n = int(re.search(r"pmod\(xxhash64\(part[^)]*\), cast\((\d+) as", plan)[1])
+    sizes = parts.groupBy(F.pmod(F.xxhash64("part"), F.lit(n))).agg(F.sum("inside").alias("n"))
+    assert sizes.agg(F.max("n")).first()[0] <= 1000
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_region(seed, monkeypatch):
     monkeypatch.setattr(regions, "SMALL", 8)
