@@ -5,10 +5,12 @@ Two documents link when their sets of 3-word shingles share 70 % of their union.
 1. Screen. A partner of x lacks at most 30 % of x, so a document most of whose shingles occur in no other document has
    none. Shingles of half the hash space are counted by ranges of their hashes, as many as the input's size asks for, each
    task having combined its own documents' first, and each document learns how many of its own were found elsewhere. No text moves.
-2. Classes. Documents that remain and have equal sets become one class, with a weight.
-3. Regions. Of two linked sets each contains one of any floor(0.3 n) + 1 shingles of the other. Taking a set's rarest,
-   linked sets share a shingle among those; sets that share one are in the same region, and what reaches over several
-   such steps is too. A region is closed: no set needs to be copied into another. Regions without a second set end here.
+2. Classes. Documents that remain and have equal sets, by 128-bit digests, become one class, with a weight. Only one
+   document of each class has its set written.
+3. Regions. In one order of all shingles, the rarest first, linked sets share k of their first floor(0.3 n) + k. Sets that
+   share SHARED there are in the same region, and what reaches over several such steps is too: one rare shingle that two
+   sets have by chance doesn't join their regions, which would grow with the input. Pairs are counted for shingles of up
+   to PAIRED sets; all sets of a more frequent one are in one region. A region is closed: no set needs to be copied into another.
 4. Cells. A region is divided, in memory where it fits, by pivots into Voronoi cells, with the sets near a boundary
    replicated by the triangle inequality, again and again (regions.py). A region beyond REGION_SHINGLES is divided so
    by distributed steps first, one after another while they make it smaller; cells that no pivots divide are compared block by block.
@@ -31,7 +33,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamella.llm.common import HOT, discard, is_scan, looked_up, parallelism, record_batch, slices, stored, utf8, view
@@ -45,6 +47,10 @@ CHUNK_SHINGLES = 1 << 20
 #: Bytes of the input for each range of hashes. Ranges have at most 2^15 numbers, so that those of a chunk aren't empty.
 RANGE_BYTES = 4 << 20
 MIN_RANGE_BITS, MAX_RANGE_BITS = 4, 15
+#: Of their floor(0.3 n) + SHARED rarest shingles linked sets share SHARED.
+SHARED = 8
+#: Sets of a shingle up to which its pairs are counted.
+PAIRED = 64
 #: What one task compares at a time: 32 MB of shingles.
 REGION_SHINGLES = 4 << 20
 #: Bins of small parts for each such amount.
@@ -214,13 +220,21 @@ def screen(docs: DataFrame) -> DataFrame:
 
 # 2. classes
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("digest", pa.binary()), ("shingles", pa.binary())])
+_NAMED = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("digest", pa.binary())])
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, 512):
+        digests = [xxhash.xxh3_128_digest(shingles(t).tobytes()) for t in utf8(batch["text"])]
+        yield record_batch(_NAMED, {"doc_id": batch["doc_id"], "fp": batch["fp"], "digest": digests})
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The column text replaced by its set, shingles."""
     for batch in slices(batches, 512):
-        sets = [shingles(t).tobytes() for t in utf8(batch["text"])]
-        yield record_batch(_SETS, {"doc_id": batch["doc_id"], "fp": batch["fp"], "digest": [xxhash.xxh3_128_digest(s) for s in sets], "shingles": sets})
+        rest = [c for c in batch.schema.names if c != "text"]
+        sets = pa.array([shingles(t).tobytes() for t in utf8(batch["text"])], pa.binary())
+        yield pa.RecordBatch.from_arrays([sets, *(batch[c] for c in rest)], names=["shingles", *rest])
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +257,7 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 _KEYS = pa.schema([("bin", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 _KEYS_DDL = "bin long, chunk long, keys binary, counts binary"
-_RARE = pa.schema([("key", pa.int64()), ("number", pa.int64())])
+_RARE = pa.schema([("key", pa.int64()), ("number", pa.int64()), ("need", pa.int64())])
 
 
 def _all_keys(sets: list[np.ndarray], bits: int) -> np.ndarray:
@@ -272,28 +286,31 @@ def _key_counts(table: pa.Table) -> pa.Table:
 
 
 def _rarest(bits: int, classes: pa.Table, counts: pa.Table) -> pa.Table:
-    """The floor(0.3 n) + 1 rarest shingles of each class of a chunk, without those that are in no other."""
+    """The floor(0.3 n) + need rarest shingles of each class of a chunk, without those that are in no other."""
     known, times = [], []
     for r, k, n in sorted(zip(*(counts[x].to_pylist() for x in ("bin", "keys", "counts")))):
         known.append(_unpack_sorted(k, "u4").astype(np.uint64) | (np.uint64(r) << np.uint64(32)))
         times.append(_unpack(n, "u4"))
     keys, often = (np.concatenate(known), np.concatenate(times)) if known else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
-    out_k, out_n = [], []
+    out_k, out_n, out_m = [], [], []
     for number, raw in zip(classes["number"].to_pylist(), classes["shingles"].to_pylist()):
         s = np.frombuffer(raw, np.uint64)
         v = s >> np.uint64(32 - bits)
         at = np.searchsorted(keys, v)
         at[at == len(keys)] = 0
         n = np.where(keys[at] == v, often[at], 1) if len(keys) else np.ones(len(s), np.uint32)
-        first = np.lexsort((s, n))[: int(spare(np.int64(len(s)))) + 1]
+        may_lack = int(spare(np.int64(len(s))))
+        need = min(SHARED, len(s) - may_lack)
+        first = np.lexsort((s, n))[: may_lack + need]
         first = first[n[first] > 1]
         out_k.append(s[first])
         out_n.append(np.full(len(first), number, np.int64))
-    return pa.Table.from_batches([record_batch(_RARE, {"key": pa.array(np.concatenate(out_k).view(np.int64)), "number": pa.array(np.concatenate(out_n))})])
+        out_m.append(np.full(len(first), need, np.int64))
+    return pa.Table.from_batches([record_batch(_RARE, {"key": pa.array(np.concatenate(out_k).view(np.int64)), "number": pa.array(np.concatenate(out_n)), "need": pa.array(np.concatenate(out_m))})])
 
 
 def rare_shingles(classes: DataFrame) -> DataFrame:
-    """key and number of the shingles of each class that a linked class must share one of."""
+    """key and number of the shingles of each class of which a linked class must share need (the lesser need of the two)."""
     bits = _range_bits(_bytes(classes, "shingles"))
 
     def chunk_keys(table: pa.Table) -> pa.Table:
@@ -305,7 +322,7 @@ def rare_shingles(classes: DataFrame) -> DataFrame:
     keys = classes.select("chunk", "shingles").groupBy("chunk").applyInArrow(chunk_keys, _KEYS_DDL)
     counts = keys.groupBy("bin").applyInArrow(_key_counts, _KEYS_DDL)
     left = classes.select("chunk", "number", "shingles").groupBy("chunk")
-    return left.cogroup(counts.groupBy("chunk")).applyInArrow(rarest, "key long, number long")
+    return left.cogroup(counts.groupBy("chunk")).applyInArrow(rarest, "key long, number long, need long")
 
 
 _NODES = pa.schema([("node", pa.int64()), ("component", pa.int64())])
@@ -353,6 +370,19 @@ def components(edges: DataFrame, hot: int = HOT) -> DataFrame:
         labels = after
 
 
+def near(rare: DataFrame, leaders: DataFrame, many: int | None = None, paired: int = PAIRED) -> DataFrame:
+    """Edges a, b between classes whose regions are one, from what rare_shingles returns and leader and users of each key."""
+    placed = looked_up(rare, leaders, "key", "users", "number", many)
+    frequent = placed.filter((F.col("users") > paired) & (F.col("number") != F.col("leader"))).select(F.col("leader").alias("a"), F.col("number").alias("b"))
+    # most keys of near copies have the same sets: these are paired once
+    sets = placed.filter(F.col("users") <= paired).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("number", "need"))).alias("sets"))
+    each = sets.groupBy("sets").agg(F.count("*").alias("times")).select("times", "sets", F.explode("sets").alias("x"))
+    pairs = each.select("times", "x", F.explode(F.filter("sets", lambda y: y["number"] > F.col("x.number"))).alias("y"))
+    pairs = pairs.select("times", F.col("x.number").alias("a"), F.col("y.number").alias("b"), F.least("x.need", "y.need").alias("need"))
+    shared = pairs.groupBy("a", "b").agg(F.sum("times").alias("times"), F.min("need").alias("need")).filter("times >= need")
+    return shared.select("a", "b").unionByName(frequent.distinct())
+
+
 # 4. cells
 
 _LINKS = pa.schema([("number", pa.int64()), ("similar", pa.int64()), ("to", pa.int64())])
@@ -416,7 +446,8 @@ def _divide(sets: pa.Table, seeds: pa.Table) -> pa.Table:
 
 
 def divided(parts: DataFrame, limit: int, level: int) -> DataFrame:
-    """The cells of parts (part, number, weight, shingles, home, inside, homes), as parts."""
+    """The cells of parts (part, number, weight, shingles, home, sets, inside, homes), as parts. A part whose cells would
+    have more copies than block_links makes stays whole, with a before that says that it can't be divided."""
     # about CELL_PIVOTS sets of each part, whatever its size, are its pivots
     chosen = F.col("home") & (F.pmod(F.xxhash64("number", F.lit(level)), F.lit(1 << 40)) < F.lit(float(CELL_PIVOTS * (1 << 40))) / F.col("homes"))
     pivots = parts.filter(chosen).groupBy("part").agg(F.collect_list(F.struct("number", "shingles")).alias("pivots"))
@@ -424,14 +455,24 @@ def divided(parts: DataFrame, limit: int, level: int) -> DataFrame:
     tasks = parts.select("part", "inside").distinct().join(pivots, "part", "left").select(F.col("part").alias("of"), "pivots", F.explode(F.sequence(F.lit(0), salts)).alias("task"))
     sets = parts.select("part", "number", "shingles", "home", F.pmod(F.xxhash64("number"), salts + 1).cast("int").alias("salt"))
     cells = sets.groupBy("part", "salt").cogroup(tasks.groupBy("of", "task")).applyInArrow(_divide, _CELLS_DDL)
+    cells = stored(cells, "numbers")
+    sizes = parts.select("part", "sets", _blocks(limit).alias("blocks")).distinct()
+    whole = cells.groupBy("of").agg(F.count("*").alias("copies")).join(sizes, F.col("of") == F.col("part")).filter("copies >= blocks * sets").select("part")  # fewer than large regions
+    kept = parts.join(F.broadcast(whole), "part", "left_semi").select("part", "number", "weight", "shingles", "home", F.lit(0).cast("long").alias("before"))
+    cells = cells.join(F.broadcast(whole.withColumnRenamed("part", "of")), "of", "left_anti")
     # the copies are made row by row in this join, not in a task's memory
     copies = cells.join(parts, (cells["of"] == parts["part"]) & (cells["member"] == parts["number"]))
-    return copies.select(F.concat_ws("/", "of", "cell").alias("part"), "number", "weight", "shingles", F.col("at_home").alias("home"), F.col("inside").alias("before"))
+    return copies.select(F.concat_ws("/", "of", "cell").alias("part"), "number", "weight", "shingles", F.col("at_home").alias("home"), F.col("inside").alias("before")).unionByName(kept)
+
+
+def _blocks(limit: int) -> Column:
+    """How many blocks a part is compared in, and so how many copies of it that takes."""
+    return F.ceil(2 * F.col("inside") / limit).cast("int")
 
 
 def block_links(parts: DataFrame, limit: int) -> DataFrame:
     """The links of parts (with inside), each block of a part by itself, and each two blocks with the pairs between them."""
-    placed = parts.withColumn("blocks", F.ceil(2 * F.col("inside") / limit).cast("int"))
+    placed = parts.withColumn("blocks", _blocks(limit))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("number"), F.col("blocks")).cast("int"))
     pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     part = F.concat_ws("/", "part", F.least("block", "other"), F.greatest("block", "other")).alias("part")
@@ -489,14 +530,18 @@ def _found(docs: DataFrame, id_col: str, text_col: str, limit: int, hot: int) ->
     n = screened.filter("alive").count()
     many = hot if n > hot else None  # no key below has more rows than there are
     kept = stored if many else lambda df, name: df
-    sets = stored(rows.join(_held(alive, n), key, "left_semi").mapInArrow(_sets, "doc_id long, fp long, digest binary, shingles binary"), "sets")
-    grouped = sets.groupBy("digest", "shingles").agg(F.min("doc_id").alias("least"), F.count("*").alias("weight"))
-    classes = stored(grouped.mapInArrow(_numbered, "digest binary, shingles binary, least long, weight long, n long, chunk long, number long"), "classes")
+    named = stored(rows.join(_held(alive, n), key, "left_semi").mapInArrow(_digests, "doc_id long, fp long, digest binary"), "named")
+    each = named.groupBy("digest", "doc_id", "fp").agg(F.count("*").alias("rows")).groupBy("digest")
+    ones = stored(each.agg(F.min(F.struct("doc_id", "fp", "rows")).alias("one"), F.min("doc_id").alias("least"), F.sum("rows").alias("weight")), "ones")
+    ones_ = ones.select(F.col("one.doc_id").alias("k_id"), F.col("one.fp").alias("k_fp"), "digest", "least", "weight")
+    sets = rows.join(_held(ones_, n), key).select("text", "digest", "least", "weight").mapInArrow(_sets, "shingles binary, digest binary, least long, weight long")
+    if ones.filter("one.rows > 1").limit(1).count():  # rows that repeat an id and its text
+        sets = sets.dropDuplicates(["digest"])
+    classes = stored(sets.mapInArrow(_numbered, "shingles binary, digest binary, least long, weight long, n long, chunk long, number long"), "classes")
 
     rare = stored(rare_shingles(classes), "rare")
     leaders = kept(rare.groupBy("key").agg(F.min("number").alias("leader"), F.count("*").alias("users")).filter("users > 1"), "leaders")
-    near = looked_up(rare, leaders, "key", "users", "number", many).filter("number <> leader").select(F.col("leader").alias("a"), F.col("number").alias("b")).distinct()
-    regions = components(near, hot)
+    regions = components(near(rare, leaders, many), hot)
     discard(rare)
     discard(leaders)
 
@@ -508,7 +553,7 @@ def _found(docs: DataFrame, id_col: str, text_col: str, limit: int, hot: int) ->
     known = stored(known.select("digest", "least", "weight", "number", "component", (F.col("weight") - 1 + F.coalesce("similar", F.lit(0))).alias("n_similar")), "known")
     least = kept(known.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("classes")), "least")
     known = kept(looked_up(known, least, "component", "classes", "number", many).select("digest", "component", "n_similar", "component_id", "weight"), "known")
-    found = looked_up(sets.select("doc_id", "fp", "digest"), known, "digest", "weight", "doc_id", many)
+    found = looked_up(named, known, "digest", "weight", "doc_id", many)
     return screened, found.select(F.col("doc_id").alias("k_id"), F.col("fp").alias("k_fp"), "component", "n_similar", "component_id")
 
 

@@ -256,6 +256,58 @@ def test_division_holds_no_copies():
     assert cells.num_rows > 300 and cells.nbytes < table.nbytes / 10
 
 
+def test_regions_of_near_copies_alone(spark, monkeypatch):
+    """Pairs of near copies, each of which has a rare shingle by chance with the next pair, are regions of two sets."""
+    texts = []
+    for k in range(30):
+        words = [f"w{k}x{i}" for i in range(60)]
+        texts += [" ".join(words), " ".join([f"c{k}a c{k}b c{k}c", *words, f"c{k + 1}a c{k + 1}b c{k + 1}c"])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen, links = [], ngram_join.region_links
+    monkeypatch.setattr(ngram_join, "region_links", lambda classes, regions_, *rest: seen.extend(regions_.collect()) or links(classes, regions_, *rest))
+    check_similar(df, ngram_join.similar_documents(df))
+    sizes = [sum(r["component"] == c for r in seen) for c in {r["component"] for r in seen}]
+    assert sizes == [2] * 30
+    rare = spark.createDataFrame([(key, number, 1) for key in (1, 2) for number in range(6)], "key long, number long, need long")
+    leaders = spark.createDataFrame([(1, 0, 6), (2, 0, 6)], "key long, leader long, users long")
+    assert [len(ngram_join.near(rare, leaders, paired=paired).collect()) for paired in (5, 6)] == [5, 15]
+
+
+def test_sets_are_written_once_a_class(spark, monkeypatch):
+    """Of a text with many copies one set is written, not one a row."""
+    sizes, write = [], ngram_join.stored
+
+    def spy(df, name="table", **more):
+        out = write(df, name, **more)
+        sizes.append(out.agg(F.sum(F.octet_length("shingles"))).first()[0] if "shingles" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", spy)
+    texts = [" ".join(f"w{k}x{i}" for i in range(100)) for k in range(5)]
+    df = spark.createDataFrame([(k, texts[k % 5]) for k in range(100)] + [(0, texts[0])] * 2, "doc_id long, text string")
+    check_similar(df, ngram_join.similar_documents(df))
+    assert max(sizes) == 5 * 98 * 8
+
+
+def test_division_that_divides_nothing_is_not_written(spark, monkeypatch):
+    """Variants of one text would each go into nearly all cells of its pivots: they are compared in blocks."""
+    g = np.random.default_rng(7)
+    base, sets = g.integers(0, 1 << 60, 60), []
+    for _ in range(150):
+        b = base.copy()
+        b[g.integers(0, 60, 8)] = g.integers(0, 1 << 60, 8)
+        sets.append(np.unique(b).astype(np.uint64))
+    rows = [(k, len(s), 1, s.tobytes()) for k, s in enumerate(sets)]
+    written, write = {}, ngram_join.stored
+    monkeypatch.setattr(ngram_join, "stored", lambda df, name="table", **more: written.setdefault(name, write(df, name, **more)))
+    classes = spark.createDataFrame(rows, "number long, n long, weight long, shingles binary")
+    regions_ = spark.createDataFrame([(k, 0) for k in range(len(sets))], "node long, component long")
+    links = ngram_join.region_links(classes, regions_, 4000, 1 << 20).groupBy("number").agg(F.sum("similar").alias("n")).collect()
+    want = {a: n for a in range(150) if (n := sum(regions.linked(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b])) for b in range(150) if b != a))}
+    assert {r["number"]: r["n"] for r in links} == want
+    assert written["cells"].count() == 150
+
+
 def test_bins_of_parts_are_small(spark):
     """Parts of a tenth of the limit, which chance would put together, make up bins that are no larger than it."""
     sets = [(str(k), k, 1, bytes(800), True, 100) for k in range(400)]
