@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import functools
 import types
 import typing
 from collections.abc import Callable, Iterable, Iterator, Mapping
@@ -29,7 +30,24 @@ def to_row(obj: object) -> dict[str, object]:
         return {str(k): _out(v) for k, v in obj.items()}
     if not dataclasses.is_dataclass(obj):
         raise TypeError(f"{type(obj).__name__} has no fields")
-    return {field_name(f): _out(getattr(obj, f.name)) for f in dataclasses.fields(obj) if f.metadata.get("parquet") != "-"}
+    return {name: v if type(v) in _PLAIN else _out(v) for f, name in _names(type(obj)) for v in (getattr(obj, f.name),)}
+
+
+#: What is in rows as it is in objects.
+_PLAIN = {str, int, float, bool, bytes, type(None)}
+
+
+@functools.lru_cache(maxsize=256)
+def _names(cls: type) -> list[tuple[dataclasses.Field, str]]:
+    """The fields of a class that rows have, with their names in files: found once, not for each row."""
+    return [(f, field_name(f)) for f in dataclasses.fields(cls) if f.metadata.get("parquet") != "-"]
+
+
+@functools.lru_cache(maxsize=256)
+def _fields(cls: type) -> list[tuple[dataclasses.Field, str, object]]:
+    """These, and their types."""
+    hints = get_type_hints(cls, include_extras=True)
+    return [(f, name, hints[f.name]) for f, name in _names(cls)]
 
 
 def _out(v: object) -> object:
@@ -52,15 +70,13 @@ def from_row(row: Row | Mapping, cls: type) -> object:
     if hasattr(cls, "from_row"):
         return cls.from_row(row)
     given = row.asDict() if isinstance(row, Row) else dict(row)
-    hints, out = get_type_hints(cls, include_extras=True), {}
-    for f in dataclasses.fields(cls):
-        if f.metadata.get("parquet") == "-":
-            continue
-        name = field_name(f)
+    out = {}
+    for f, name, hint in _fields(cls):
         if name in given:
-            out[f.name] = _in(given[name], hints[f.name])
+            v = given[name]
+            out[f.name] = v if type(v) is hint else _in(v, hint)
         elif f.default is dataclasses.MISSING and f.default_factory is dataclasses.MISSING:
-            if type(None) not in get_args(hints[f.name]):
+            if type(None) not in get_args(hint):
                 raise FieldNotPresent(name)
             out[f.name] = None
     return cls(**out)
