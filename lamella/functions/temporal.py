@@ -5,6 +5,8 @@ Instants before 1970 are floored, not cut toward zero. Times of day are nanoseco
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,11 +98,23 @@ FORMATS = (
 )
 
 
+def _shape(form: str) -> str:
+    """What a text in a format must look like at least: parsing one in vain costs an exception."""
+    kinds = {"X": ".+", "z": ".+", "Z": ".+"}
+    tokens = re.findall(r"'([^']*)'|(([A-Za-z])\3*)|(.)", form)
+    parts = [re.escape(literal) if literal else re.escape(sign) if sign else r"[^\d\s]+" if run in ("MMM", "MMMM") else kinds.get(letter, r"[+-]?\d+") for literal, run, letter, sign in tokens]
+    return "(?is)^" + "".join(parts) + "$"
+
+
 def parse_any(s: Column, formats: tuple[str, ...] = FORMATS) -> Column:
     """A timestamp from text in one of the formats, or from the digits of a Unix time (10, 13, 16 or 19 of them); null if none fits."""
     text = F.regexp_replace(F.regexp_replace(F.trim(s), r"^(?i)(mon|tues?|wed(nes)?|thu(rs)?|fri|sat(ur)?|sun)(day)?,?\s+", ""), r"\s+", " ")
-    unix = F.when(text.rlike(r"^\d{10}$|^\d{13}$|^\d{16}$|^\d{19}$"), guess_unix(text.try_cast("long")))
-    return F.coalesce(unix, *[F.try_to_timestamp(text, F.lit(f)) for f in formats], F.try_to_timestamp(text))
+
+    def parsed(text: Column) -> Column:
+        unix = F.when(text.rlike(r"^\d{10}$|^\d{13}$|^\d{16}$|^\d{19}$"), guess_unix(text.try_cast("long")))
+        return F.coalesce(unix, *[F.when(text.rlike(_shape(f)), F.try_to_timestamp(text, F.lit(f))) for f in formats], F.try_to_timestamp(text))
+
+    return F.element_at(F.transform(F.array(text), parsed), 1)  # the text is made once, not for each format
 
 
 # times of day

@@ -377,3 +377,24 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_types_of_a_class_are_found_once(monkeypatch):
+    import dataclasses
+
+    kind = dataclasses.make_dataclass("Kind", [("a", int), ("b", str | None, None)])
+    asked, find = [], rows.get_type_hints
+    monkeypatch.setattr(rows, "get_type_hints", lambda *x, **y: asked.append(x) or find(*x, **y))
+    objects = [rows.from_row({"a": k}, kind) for k in range(50)]
+    assert [rows.to_row(o) for o in objects] == [{"a": k, "b": None} for k in range(50)] and len(asked) <= 1
+
+
+def test_texts_are_parsed_in_few_formats(spark):
+    """Only formats that a text may have are tried, and none is lost by that."""
+    texts = ["2024-03-01T10:20:30.123456+01:00", "2024-03-01T10:20:30Z", "2024-03-01t10:20:30Z", "2024-03-01 10:20:30", "2024-03-01", "2024/3/1", "03/01/2024 10:20:30", "3/1/2024", "01.03.2024", "20240301102030", "20240301", "mar 1, 2024 10:20:30", "March 1, 2024", "1 Mar 2024 10:20:30 GMT", "1 Mar 2024 10:20:30 +0100", "1 March 2024", "Mar 1 10:20:30 2024", "at noon", "", "+2024-03-01"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    plain = F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in temporal.FORMATS], F.try_to_timestamp(t))
+    assert all(a == b for a, b in df.select(plain, temporal.parse_any(t)).collect())
+    tried = df.select(*[t.rlike(temporal._shape(f)).cast("int") for f in temporal.FORMATS]).collect()
+    assert max(map(sum, tried)) <= 6 and sum(tried[texts.index("at noon")]) == 0
