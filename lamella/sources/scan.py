@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -20,12 +20,15 @@ from lamella.sources import footer
 
 #: Rows of a row group that a task holds at a time.
 BATCH_ROWS = 1 << 14
+#: Bytes of neighbouring row groups of a file that one task reads.
+TASK_BYTES = 32 << 20
 
 
 @dataclasses.dataclass(frozen=True)
 class ScanOptions:
     """columns: dotted paths (back-ticks quote parts with dots); those that aren't in the file are passed over, unless strict.
-    schema: instead of inference. verify_checksums: pages' CRCs. row_groups and skip_row_groups: numbers from 0, in each file."""
+    schema: instead of inference. verify_checksums: pages' CRCs. row_groups and skip_row_groups: numbers from 0, in each file, or
+    through_files: the files in the order of their names, as if they were one."""
 
     columns: tuple[str, ...] = ()
     schema: Schema | None = None
@@ -34,6 +37,7 @@ class ScanOptions:
     skip_row_groups: tuple[int, ...] = ()
     strict: bool = False
     nanos_as_long: bool = False
+    through_files: bool = False
 
 
 def pruned(schema: Schema, columns: Iterable[str]) -> Schema:
@@ -117,36 +121,43 @@ def scan(spark: SparkSession, path: str, options: ScanOptions = ScanOptions()) -
 def _of_row_groups(spark: SparkSession, path: str, options: ScanOptions, names: list[str] | None) -> DataFrame:
     """The rows of the chosen row groups: a row for each of those, from the footers, is dealt out to tasks, which read their
     groups and no others, and of these only the columns named, in batches."""
-    keep = F.lit(True)
+    groups, number, keep = footer.row_groups(spark, path), F.col("row_group"), F.lit(True)
+    if options.through_files:
+        earlier = Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+        files = groups.groupBy(F.col("file").alias("of")).agg(F.count("*").alias("n")).select("of", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+        groups, number = groups.join(F.broadcast(files), F.col("file") == F.col("of")), number + F.col("before")
     if options.row_groups is not None:
-        keep = F.col("row_group").isin(list(options.row_groups))
+        keep = number.isin(list(options.row_groups))
     if options.skip_row_groups:
-        keep = keep & ~F.col("row_group").isin(list(options.skip_row_groups))
+        keep = keep & ~number.isin(list(options.skip_row_groups))
     reader = spark.read.schema(read_schema(options.schema)) if options.schema is not None else spark.read
     whole = reader.parquet(path).schema
     struct = T.StructType([f for f in whole.fields if names is None or f.name in names])
     kind, checked = to_arrow_schema(struct), options.verify_checksums
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = None
         for batch in batches:
             for name, group in zip(batch["file"].to_pylist(), batch["row_group"].to_pylist()):
-                fs, inside = pafs.FileSystem.from_uri(name)
-                file = pq.ParquetFile(inside, filesystem=fs, page_checksum_verification=checked)
-                there = [n for n in kind.names if n in file.schema_arrow.names]
+                if name != opened:  # a footer of many groups takes longer to read than a group
+                    fs, inside = pafs.FileSystem.from_uri(name)
+                    file, opened = pq.ParquetFile(inside, filesystem=fs, page_checksum_verification=checked), name
+                    there = [n for n in kind.names if n in file.schema_arrow.names]
                 for part in file.iter_batches(BATCH_ROWS, row_groups=[group], columns=there):
                     table = pa.Table.from_batches([part])
                     columns = [table[f.name].cast(f.type, safe=False) if f.name in there else pa.nulls(part.num_rows, f.type) for f in kind]
                     yield from pa.Table.from_arrays(columns, schema=kind).to_batches()
 
-    chosen = footer.row_groups(spark, path).filter(keep).select("file", "row_group")
+    run = F.floor(F.col("row_group") * F.col("total_byte_size") / TASK_BYTES).alias("run")  # about the place in the file
+    chosen = groups.filter(keep).select("file", "row_group", run)
     # a fixed number of tasks: rows that name groups are small, and adaptive execution would read all of them in one task
-    spread = chosen.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file", "row_group")
+    spread = chosen.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file", "run").sortWithinPartitions("file", "row_group")
     return spread.mapInArrow(read, struct)
 
 
-def seek(spark: SparkSession, path: str, row_group: int, columns: tuple[str, ...] = ()) -> DataFrame:
-    """The rows from a row group (from 0) on, in every file; the groups before it aren't read."""
-    return scan(spark, path, ScanOptions(columns=columns, skip_row_groups=tuple(range(row_group))))
+def seek(spark: SparkSession, path: str, row_group: int, columns: tuple[str, ...] = (), through_files: bool = False) -> DataFrame:
+    """The rows from a row group (from 0) on, in every file, or through_files; the groups before it aren't read."""
+    return scan(spark, path, ScanOptions(columns=columns, skip_row_groups=tuple(range(row_group)), through_files=through_files))
 
 
 def head(df: DataFrame, n: int = 5, order: Iterable[str] = ()) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lamella.functions.handlers import bytes_of
 from lamella.operators.stats import plain_size
-from lamella.plans.numbering import running
+from lamella.plans.numbering import numbered, running
 from lamella.sources.sinks import SinkOptions
 
 FILE_SIZE, ROW_GROUP_SIZE = "100MB", "128MB"
@@ -21,6 +21,14 @@ def row_bytes(df: DataFrame) -> Column:
     return total
 
 
+def in_files(df: DataFrame, order: list[str], rows: int) -> DataFrame:
+    """df in its order, which must be a total one, in partitions of so many rows, of which the last may have fewer: written,
+    each is a file, and the files' names are in the order too. A task holds one such part."""
+    placed = numbered(df, order, "__at")
+    files = max(1, -(-df.count() // rows))
+    return placed.repartitionById(files, F.floor(F.col("__at") / rows).cast("int")).sortWithinPartitions("__at").drop("__at")
+
+
 def split_parts(df: DataFrame, order: list[str], target: int, size: Column | None = None) -> DataFrame:
     """df with part, from 1: a part is full with the row that brings the size before it to a multiple of target."""
     own = size if size is not None else row_bytes(df)

@@ -263,3 +263,44 @@ def test_paths_inside_lists_and_maps(spark, tmp_path):
     assert "ReadSchema: struct<l:array<struct<b:string>>,m:map<bigint,struct<a:bigint>>>" in df._jdf.queryExecution().toString()
     with pytest.raises(ValueError, match="no column"):
         scan(spark, path, ScanOptions(columns=("l.list.element.b", "none"), strict=True))
+
+
+def test_schema_leaves_of_several_files(spark, tmp_path):
+    """A table's leaves come once, however many files it has."""
+    from lamella import catalogue_files
+
+    spark.range(8, numPartitions=4).selectExpr("id AS vec_id", "array(1.0f) AS embedding").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert sorted(r["path"] for r in catalogue_files.schema_leaves(spark, str(tmp_path)).collect()) == ["embedding.list.element", "vec_id"]
+
+
+def _orders(spark, folder, n):
+    spark.range(n, numPartitions=3).selectExpr(f"(id * 7919) % {n} AS o_orderkey", "1.25D AS o_totalprice", "concat('p', id) AS o_orderpriority").write.parquet(str(folder / "orders.parquet"))
+
+
+def test_row_groups_through_several_files(spark, tmp_path, monkeypatch):
+    """Groups are numbered as in one file, but no task holds or sorts the table."""
+    from lamella import catalogue_files
+
+    monkeypatch.setattr(catalogue_files, "_FILE_ROWS", 2000)
+    _orders(spark, tmp_path, 5500)
+    files, store = [], catalogue_files.write
+    monkeypatch.setattr(catalogue_files, "write", lambda df, path, options: store(df, path, options) or files.append(footer.footer(spark, path).select("num_rows").collect()))
+    got = {}
+    for r in catalogue_files.row_group_scan(spark, str(tmp_path)).collect():
+        got.setdefault(r["part"], []).append(r["o_orderkey"])
+    want = {"chosen": [*range(1000), *range(2000, 3000)], "skipped": [*range(1000, 2000), *range(3000, 5500)], "sought": [*range(3000, 5500)]}
+    assert {k: sorted(v) for k, v in got.items()} == want
+    assert sorted(r[0] for r in files[0]) == [1500, 2000, 2000]
+
+
+def test_sinks_count_groups_of_large_tables(spark, tmp_path, monkeypatch):
+    """What is beyond a row group's bytes goes to further files, not to further groups of one."""
+    import dataclasses
+
+    from lamella import catalogue_files
+
+    monkeypatch.setattr(catalogue_files, "_FILE_ROWS", 2000)
+    small = {k: (dataclasses.replace(o, row_group_bytes=60_000), c, n) for k, (o, c, n) in catalogue_files._SINKS.items() if k in ("none", "groups")}
+    monkeypatch.setattr(catalogue_files, "_SINKS", small)
+    _orders(spark, tmp_path, 9500)
+    assert {r["sink"]: (r["num_rows"], r["row_groups"]) for r in catalogue_files.sinks(spark, str(tmp_path)).collect()} == {"none": (9500, 1), "groups": (9500, 10)}
